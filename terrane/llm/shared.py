@@ -66,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds (Kiveris et al. 2014); each round is a table in the shared folder. Empty edges
     give an empty result. Nulls must have been dropped.
     """
-    names = edges.columns
+    names, edges = edges.columns, save(edges)
     e = edges.select(F.greatest(*names).alias("u"), F.least(*names).alias("v"))
     alone = e.where("u = v").select("u", "v")
     e, seen = save(e.where("u <> v").distinct()), None
