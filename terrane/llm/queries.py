@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, jaccard, quality, tokens
+from terrane.llm import bpe, decontam, html, jaccard, lines, quality, substrings, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -29,11 +34,93 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes_policy("v1").alias("kept"), "failed")
 
 
+#: (verdict, rule): what stands below a host, its subdomains and a path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: Listed URLs to block, where no rule decides.
+LISTED = tuple(f"http://{name}.example.{end}/" for name in ("ads-track", "adult-x") for end in ("com", "net", "org"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("url"))
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_bpe_codec, op4_quality_rules, op8_token_counts)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_ngram_jaccard_join,
+        op3_bpe_codec,
+        op4_quality_rules,
+        op5_url_filters,
+        op6_html_extraction,
+        op7_benchmark_decontamination,
+        op8_token_counts,
+        op9_toxicity,
+        op10_substring_dedup,
+    )
+}
+_HOST = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"
+_PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
+_LISTED = ", ".join(f"('{u.removeprefix('http://').rstrip('/')}')" for u in LISTED)
+ORACLE: dict[str, str] = {
+    "op4_quality_rules": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS l FROM t),
+g AS (SELECT *, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) AS g FROM w),
+c AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, p + k AS pos FROM (
+        SELECT doc_id, i AS p, count(*) OVER (PARTITION BY doc_id, x) AS n FROM (SELECT doc_id, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM g)) CROSS JOIN (VALUES (0), (1), (2)) AS o(k) WHERE n > 1) GROUP BY doc_id),
+d AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines, count(*) AS n_lines FROM (SELECT doc_id, unnest(l) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+v AS (SELECT doc_id, count(DISTINCT x) AS n_distinct FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY doc_id),
+m AS (SELECT g.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        coalesce(n_lines, 0) AS n_lines, coalesce(n_distinct, 0) AS n_distinct, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+        length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits
+      FROM g LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN v USING (doc_id)),
+f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN n_symbols > 0.1 * n_words THEN 4 ELSE 0 END
+        + CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 8 ELSE 0 END + CASE WHEN n_lines > 3 AND n_dup_lines > 0.3 * n_lines THEN 16 ELSE 0 END
+        + CASE WHEN n_letters > 0 AND n_upper > 0.5 * n_letters THEN 32 ELSE 0 END + CASE WHEN n_digits > 0.3 * word_chars THEN 64 ELSE 0 END
+        + CASE WHEN n_words >= 50 AND n_distinct < 0.1 * sqrt(n_words) * sqrt(50) THEN 128 ELSE 0 END)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 255 = 0 AS kept, failed FROM f""",
+    "op5_url_filters": f"""
+WITH p AS (SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PATH} AS path FROM pages),
+r AS (SELECT * FROM (VALUES {_RULES}) AS r(verdict, rule, h, b)), l AS (SELECT * FROM (VALUES {_LISTED}) AS l(h)),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) GROUP BY page_id),
+b AS (SELECT page_id, arg_max(h, length(h)) || '/' AS listed_as FROM p JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/') GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed_as IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN listed_as END AS listed_as
+FROM p LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)""",
+    "op10_substring_dedup": """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 48, 1))) AS i, w FROM w),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM g),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM h),
+c AS (SELECT DISTINCT doc_id, i + k AS pos FROM (SELECT * FROM m WHERE least < doc_id) CROSS JOIN range(0, 50) AS o(k)),
+r AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)""",
 }
-ORACLE: dict[str, str] = {}
