@@ -1,22 +1,50 @@
-"""Corpus pipeline: documents that remain for training, in stages that each call one operator."""
+"""Corpus pipeline: documents that remain for training, in stages that each call one operator.
+
+Each stage gets the documents that the one before it kept. All but the last return the columns of documents; n_chars
+follows the text where a stage changes it. The last returns the encoding of what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import jaccard
+from terrane.llm import bpe, decontam, jaccard, lines, toxicity
 from terrane.llm.shared import save
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores at 0.5 or more go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, "toxicity__").where("toxicity__ < 0.5").drop("toxicity__")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines with an earlier equal or nearly equal line go; so do documents that have no line left but had one."""
+    rows = lines.dedup(docs).where("n_removed = 0 OR trim(text) <> ''")
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    classes = jaccard.similar(docs, n=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(classes, docs["doc_id"] == classes["kept_id"], "left_semi")
+    gone = jaccard.similar(docs, n=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    found = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(found, docs["doc_id"] == found["gone_id"], "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
-#: Models, signature trees and tokenizers are beyond SQL; the stages are tested against brute force instead.
+STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("bpe", encode)]
+#: The first stage is a trained network, the last a tokenizer: beyond SQL. tests/llm test each stage by brute force.
 ORACLE_SQL = None
 
 
