@@ -201,7 +201,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = save(spans.join(base.where("copy").select("doc_id"), "doc_id", "left_anti"))
     texts = save(_chosen(docs, spans))
-    places = save(_windows(texts))
+    places = _windows(texts)  # made twice from the saved texts: cheaper than a table of them
     least = places.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last")
     starts = places.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     return base, _removed(texts.drop("spans").join(starts, "doc_id"))
