@@ -8,8 +8,9 @@ node, and nodes that share sets form a cluster; only there links are possible.
 
 The lower levels are built per cluster (or block of a large one) by a task: leaves hold a bitmap of their tokens,
 inner nodes the OR of their children with the ranges of size and of surplus (tokens less bits). A dual traversal
-leaves node pairs whose largest possible overlap is too small, or whose documents are all linked already, and verifies
-what is left by the exact sets.
+leaves node pairs whose largest possible overlap is too small, or whose documents are all linked already. It runs
+twice: first over the bitmaps alone, where what is possible counts as linked, which splits the clusters; then over the
+sets of what is still clustered, where each leaf pair is verified exactly.
 
 Large clusters are cut by hash into blocks of bounded size, twice, so that dense clusters become one component; what
 is still apart is compared across all blocks. So no link is lost, and no task holds more than two blocks.
@@ -147,8 +148,17 @@ def nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, d1 long")
 
 
-def shingles(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """doc_id, d1, tokens (sorted) of the documents that may be wanted, by the bitmap."""
+def signature(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """WIDTH words of bits for each set."""
+    out = np.zeros((len(offsets) - 1, WIDTH), U)
+    row = np.repeat(np.arange(len(out)), np.diff(offsets))
+    bit = (mix(tokens) >> U(64 - int(np.log2(WIDTH * 64)))).astype(np.int64)
+    np.bitwise_or.at(out.reshape(-1), row * WIDTH + (bit >> 6), U(1) << (bit & 63).astype(U))
+    return out
+
+
+def shingles(docs: DataFrame, n: int, wanted: np.ndarray, exact: bool) -> DataFrame:
+    """doc_id, d1, tokens (sorted; if not exact the words of the signature) of the documents that may be wanted, by the bitmap."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +168,11 @@ def shingles(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
             batch = batch.filter(pa.array(among(bits.value, ids)))
             ids = batch.column("doc_id")
             for i, j, t, o in sets(batch, n, powers):
+                d1 = digests(t, o)[0]
+                if not exact:
+                    t, o = signature(t, o).reshape(-1), np.arange(j - i + 1) * WIDTH
                 lists = pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(t.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(digests(t, o)[0].view(np.int64)), lists], ["doc_id", "d1", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(d1.view(np.int64)), lists], ["doc_id", "d1", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, d1 long, tokens array<long>")
 
@@ -167,13 +180,7 @@ def shingles(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
 class Tree:
     """Signature tree over sets in the order given: level 0 are the leaves. Nodes of disjoint cluster ranges have no link."""
 
-    def __init__(self, tokens: list[np.ndarray], cluster: np.ndarray):
-        size = np.array([len(t) for t in tokens], np.int64)
-        flat = np.concatenate(tokens)
-        row = np.repeat(np.arange(len(size)), size)
-        bit = (mix(flat) >> U(64 - int(np.log2(WIDTH * 64)))).astype(np.int64)
-        sig = np.zeros((len(size), WIDTH), U)
-        np.bitwise_or.at(sig.reshape(-1), row * WIDTH + (bit >> 6), U(1) << (bit & 63).astype(U))
+    def __init__(self, sig: np.ndarray, size: np.ndarray, cluster: np.ndarray):
         surplus = size - np.bitwise_count(sig).sum(1).astype(np.int64)
         self.levels = [(sig, size, size, surplus, cluster, cluster)]
         while len(self.levels[-1][0]) > 1:
@@ -194,12 +201,10 @@ class Tree:
         return i[ok], j[ok]
 
 
-def links(tokens: list[np.ndarray], cluster: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join all sets which links join. Sets with equal labels are joined already."""
-    if len(tokens) < 2:
-        return []
-    tree, label, out = Tree(tokens, cluster), np.unique(label, return_inverse=True)[1], []
-    n, step = len(tokens), np.arange(FAN)
+def links(tree: Tree, tokens: list[np.ndarray] | None, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join all sets which links join. Sets with equal labels are joined already. Without tokens what is possible counts."""
+    n, step, out = len(label), np.arange(FAN), []
+    label = np.unique(label, return_inverse=True)[1]
     stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
@@ -220,9 +225,10 @@ def links(tokens: list[np.ndarray], cluster: np.ndarray, label: np.ndarray, perc
             keep = label[i] != label[j]
             i, j, linked = i[keep], j[keep], False
             for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                total = len(tokens[a]) + len(tokens[b])
-                inter = total - len(np.unique(np.concatenate([tokens[a], tokens[b]])))
-                if 100 * inter >= percent * (total - inter):
+                if tokens:
+                    union = len(np.unique(np.concatenate([tokens[a], tokens[b]])))
+                    both = len(tokens[a]) + len(tokens[b]) - union
+                if not tokens or 100 * both >= percent * union:
                     out.append((a, b))
                     label = np.where(label == label[b], label[a], label)
                     i, j, linked = i[k + 1 :], j[k + 1 :], True
@@ -230,17 +236,19 @@ def links(tokens: list[np.ndarray], cluster: np.ndarray, label: np.ndarray, perc
     return out
 
 
-def tree_links(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
-    """a, b: links between the documents of each group of rows (doc_id, tokens, cluster, label, group columns). label: what is joined already, or null."""
+def tree_links(rows: DataFrame, group: list[str], percent: int, exact: bool) -> DataFrame:
+    """a, b: links between the documents of each group of rows (doc_id, n, tokens, cluster, label, group columns). label: what is joined already, or null."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, cluster = table.column("doc_id").to_numpy(), table.column("cluster").to_numpy()
+        ids, cluster, size = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "n"))
         new = table.column("label").is_null().to_numpy(zero_copy_only=False)
         label = np.where(new, ids, table.column("label").fill_null(0).to_numpy())
         lists = table.column("tokens").combine_chunks()
         flat, o = lists.values.to_numpy(zero_copy_only=False).view(U), lists.offsets.to_numpy()
-        order = np.lexsort((ids, np.diff(o), np.where(new, 0, label), cluster))
-        pairs = links([flat[o[k] : o[k + 1]] for k in order], cluster[order], label[order], percent)
+        order = np.lexsort((ids, size, np.where(new, 0, label), cluster))
+        sig = signature(flat[o[0] : o[-1]], o - o[0]) if exact else flat[o[0] : o[-1]].reshape(-1, WIDTH)
+        tree = Tree(sig[order], size[order], cluster[order])
+        pairs = links(tree, [flat[o[k] : o[k + 1]] for k in order] if exact else None, label[order], percent)
         at = order[np.array(pairs, np.int64).reshape(-1, 2)]
         return pa.table({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
 
@@ -263,24 +271,31 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     edges = nodes(docs, n, percent).select("d1", least.alias("least")).where("d1 <> least").distinct()
     cluster = components(edges).select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
     members = save(classes.join(cluster, "d1").select(F.col("rep").alias("doc_id"), "d1", "cluster", F.col("n_shingles").alias("n")))
-    apart = save(shingles(docs, n, bitmap(members, "doc_id")).join(members, ["doc_id", "d1"]).dropDuplicates(["doc_id", "d1"]))
-    blocks = apart.groupBy("cluster").agg(weight("count(1)", "sum(n)").alias("w")).withColumn("blocks", F.ceil("w"))
+    parts = joined(docs, members, n, percent, False).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    members = save(members.drop("cluster").join(parts, "doc_id"))
+    whole = joined(docs, members, n, percent, True).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    ids = classes.join(whole, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.where("n_shingles > 0").join(ids, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def joined(docs: DataFrame, members: DataFrame, n: int, percent: int, exact: bool) -> DataFrame:
+    """node, component of the members (doc_id, d1, n, cluster) that links within their clusters join."""
+    apart = save(shingles(docs, n, bitmap(members, "doc_id"), exact).join(members, ["doc_id", "d1"]).dropDuplicates(["doc_id", "d1"]))
+    blocks = members.groupBy("cluster").agg(weight("count(1)", "sum(n)" if exact else "0").alias("w")).withColumn("blocks", F.ceil("w"))
     bins = int(blocks.where("blocks = 1").agg(F.sum("w")).first()[0] or 0) + 1
     apart = apart.join(blocks.drop("w"), "cluster").withColumn("label", F.lit(None).cast("long"))
-    found = tree_links(apart.where("blocks = 1").withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(bins))), ["g"], percent)
+    found = tree_links(apart.where("blocks = 1").withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(bins))), ["g"], percent, exact)
     large = apart.where("blocks > 1")
-    for seed in (1, 2):
-        found = found.unionByName(tree_links(large.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "blocks")), ["cluster", "g"], percent))
-    found = save(found)
     if not large.isEmpty():
-        found = found.unionByName(save(across(large, found, percent)))
-    whole = components(found).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
-    ids = classes.join(whole, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.where("n_shingles > 0").join(ids, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        for seed in (1, 2):
+            found = found.unionByName(tree_links(large.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "blocks")), ["cluster", "g"], percent, exact))
+        found = save(found)
+        found = found.unionByName(save(across(large, found, percent, exact)))
+    return components(found)
 
 
-def across(large: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def across(large: DataFrame, found: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Links between the parts that large clusters still have: all sets but those of a cluster's largest part, against all its sets."""
     parts = components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     rows = save(large.drop("label").join(parts, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
@@ -291,5 +306,5 @@ def across(large: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     every = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
     few = rows.where("label <> main").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(3)), "rests"))
     few = few.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("to <> g").withColumn("g", F.col("to"))
-    keep = ["cluster", "g", "h", "doc_id", "tokens", "label"]
-    return tree_links(every.select(keep).unionByName(few.select(keep)), ["cluster", "g", "h"], percent)
+    keep = ["cluster", "g", "h", "doc_id", "n", "tokens", "label"]
+    return tree_links(every.select(keep).unionByName(few.select(keep)), ["cluster", "g", "h"], percent, exact)

@@ -75,15 +75,15 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     spots = F.explode(F.sequence(F.col("k") * F.col("s") + 1, n - (SEGMENTS - 1 - F.col("k")) * F.col("s")))
     variants = texts.join(near.select("h", "h2", "k", "s"), ["h", "h2"]).select("h", "h2", "line", "first", spots.alias("p")).distinct()
     less = F.concat(F.substring("line", F.lit(1), F.col("p") - 1), F.substring("line", F.col("p") + 1, n))
-    own = F.struct("first.d", "first.i", "h", "h2").alias("own")
-    variants = variants.select(F.xxhash64(less).alias("v"), "p", own).unionByName(texts.select(F.col("h").alias("v"), F.lit(0).alias("p"), own))
-    same, whole = Window.partitionBy("v", "p"), Window.partitionBy("v")
-    replaced = F.when(F.col("p") > 0, F.min("own").over(same))
-    longer = F.when(F.col("p") > 0, F.min(F.when(F.col("p") == 0, F.col("own"))).over(whole))
-    shorter = F.when(F.col("p") == 0, F.min(F.when(F.col("p") > 0, F.col("own"))).over(whole))
-    pairs = variants.select("own", F.array(replaced, longer, shorter).alias("to")).select("own", F.explode("to").alias("to")).where("to < own").select("own.h", "own.h2", F.col("to.h").alias("g"), F.col("to.h2").alias("g2")).distinct()
-    other = texts.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("line").alias("earlier"))
-    return pairs.join(texts.select("h", "h2", "line"), ["h", "h2"]).join(other, ["g", "g2"]).where(F.levenshtein("line", "earlier", 1) >= 0).select("h", "h2").distinct()
+    d, i = F.col("first.d").alias("d"), F.col("first.i").alias("i")  # the earliest place names the line
+    variants = variants.select(F.xxhash64(less).alias("v"), "p", d, i).unionByName(texts.select(F.col("h").alias("v"), F.lit(0).alias("p"), d, i))
+    same, whole, own = Window.partitionBy("v", "p"), Window.partitionBy("v"), F.struct("d", "i")
+    replaced = F.when(F.col("p") > 0, F.min(own).over(same))
+    longer = F.when(F.col("p") > 0, F.min(F.when(F.col("p") == 0, own)).over(whole))
+    shorter = F.when(F.col("p") == 0, F.min(F.when(F.col("p") > 0, own)).over(whole))
+    pairs = variants.select(own.alias("own"), F.array(replaced, longer, shorter).alias("to")).select("own", F.explode("to").alias("to")).where("to < own").distinct()
+    other = texts.select(F.col("first").alias("to"), F.col("line").alias("earlier"))
+    return pairs.join(texts.select("h", "h2", F.col("first").alias("own"), "line"), "own").join(other, "to").where(F.levenshtein("line", "earlier", 1) >= 0).select("h", "h2").distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:

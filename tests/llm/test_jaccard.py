@@ -57,7 +57,9 @@ def test_tree_finds_what_all_pairs_find():
     r = np.random.default_rng(1)
     base = [np.unique(r.integers(0, 1 << 63, r.integers(1, 80)).astype(np.uint64)) for _ in range(20)]
     sets = [np.unique(np.where(r.random(len(b)) < 0.06, r.integers(0, 1 << 63, len(b)).astype(np.uint64), b)) for b in base for _ in range(8)]
-    got = jaccard.links(sets, np.zeros(len(sets), np.int64), np.arange(len(sets)), 80)
+    size = np.array([len(x) for x in sets])
+    sig = jaccard.signature(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    got = jaccard.links(jaccard.Tree(sig, size, np.zeros(len(sets), np.int64)), sets, np.arange(len(sets)), 80)
     part = np.arange(len(sets))
     want = np.arange(len(sets))
     for a, b in got:
