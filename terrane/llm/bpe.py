@@ -25,6 +25,8 @@ PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Fixed values of this vocabulary: word pattern and word end.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
+SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+WHITE = regex.compile(r"\p{White_Space}+")
 #: Fragments and words that a task remembers before it starts afresh.
 REMEMBERED = 300_000
 
@@ -100,7 +102,8 @@ class Codec:
         if "<|" in text and self.special.search(text):
             return b"".join(np.array([self.special_ids[s]], "<u4").tobytes() if s in self.special_ids else self.encode(s) for s in self.special.split(text) if s)
         out, words = [], self.words
-        for w in text.split():
+        # str.split() also cuts at four control characters that are no white space to the vocabulary's pattern
+        for w in text.split() if SEPARATORS.isdisjoint(text) else filter(None, WHITE.split(text)):
             if (got := words.get(w)) is None:
                 if len(words) > REMEMBERED:
                     words.clear()
