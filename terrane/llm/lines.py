@@ -5,10 +5,9 @@ stay. A line is removed if an earlier line, by (doc_id, line number), is equal o
 more, at edit distance 1. Earlier lines count whether they stay themselves or not.
 
 Distinct lines come first, with their earliest place. A line is cut into four segments; one edit leaves three of them
-alone, so only lines that share the other three with another distinct line go on. These emit their variants: the line
-less one character, as hashed keys, for the characters outside the shared segments. Equal variants at one position are
-lines that differ in that character; a variant that is a whole line is one with a character less. Such groups are small
-by nature, and each line is only set against the earliest of its group, so no pairs within a group are made. The edit
+alone, so only lines that share the other three with another distinct line go on. These emit their variants as hashed
+keys: the shared segments, and the rest of the line less one character. Equal variants at one position are lines that
+differ in that character; a variant that is a whole line is one with a character less. Such groups are small by nature, and each line is only set against the earliest of its group, so no pairs within a group are made. The edit
 distance of each pair found is verified.
 
 Nulls and empty texts have no line to remove and stay as they are. Rows of one doc_id are one document. Columns other
@@ -39,14 +38,21 @@ def segment(n: Column) -> Column:
     return F.greatest(F.floor(F.floor(n / SEGMENTS) / step) * step, F.lit(1)).cast("int")
 
 
-def _segment_keys(line: Column, n: Column, s: Column) -> Column:
-    """For each segment that may hold the edit: hash of the others, from both ends of the line."""
-    return F.array(
-        *(
-            F.struct(F.lit(k).alias("k"), s.alias("s"), F.xxhash64(F.lit(k), s, F.substring(line, F.lit(1), s * k), F.substring(line, n - s * (SEGMENTS - 1 - k) + 1, s * (SEGMENTS - 1 - k))).alias("key"))
-            for k in range(SEGMENTS)
-        )
-    )
+def segment_keys(lines: DataFrame) -> DataFrame:
+    """h, k, s, key of each line of NEAR characters and more: for each segment k that may hold the edit, a hash of the
+    others, from both ends of the line. A line gets the segments of its own length and those of one character less.
+
+    Every step has columns of its own, as an expression under explode is worked out anew wherever it stands.
+    """
+    n, s = F.col("n"), F.col("s")
+    rows = lines.select("h", "line", F.char_length("line").alias("n")).where(n >= NEAR)
+    rows = rows.withColumn("s", segment(n)).withColumn("before", segment(n - 1))
+    rows = rows.withColumn("s", F.explode(F.when(s == F.col("before"), F.array("s")).otherwise(F.array("s", "before"))))
+    front = [F.substring("line", 1 + s * j, s) for j in range(SEGMENTS - 1)]
+    back = [F.substring("line", n - s * (SEGMENTS - 1 - j) + 1, s) for j in range(SEGMENTS - 1)]
+    rows = rows.select("h", "s", *(F.xxhash64(F.lit(k), s, *front[:k], *back[k:]).alias(f"key{k}") for k in range(SEGMENTS)))
+    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"key{k}").alias("key")) for k in range(SEGMENTS)))
+    return rows.select("h", "s", F.explode(keys).alias("x")).select("h", "s", "x.*")
 
 
 def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -62,21 +68,19 @@ def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """h, h2 of distinct lines that have an earlier line at edit distance 1."""
-    n = F.char_length("line")
-    own, before = segment(n), segment(n - 1)
-    keys = F.concat(_segment_keys(F.col("line"), n, own), F.when(before != own, _segment_keys(F.col("line"), n, before)).otherwise(F.array()))
-    keys = lines.where(n >= NEAR).select("h", F.explode(keys).alias("x")).select("h", "x.*")
+    keys = segment_keys(lines)
     shared = save(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select(F.col("key").alias("h")))
-    held = _maybe(keys.select(F.col("h").alias("own"), "k", "s", F.col("key").alias("h")), shared).join(shared, "h").select(F.col("own").alias("h"), "k", "s").distinct()
-    near = save(held.join(distinct, "h").select("h", "h2", "first", "k", "s"))
+    held = _maybe(keys.select(F.col("h").alias("own"), "k", "s", F.col("key").alias("h")), shared).join(shared, "h")
+    held = held.select(F.col("own").alias("h"), "k", "s", F.col("h").alias("key")).distinct()
+    near = save(held.join(distinct, "h").select("h", "h2", "first", "k", "s", "key"))
     one = near.select("h", "h2", F.col("first.d").alias("d"), F.col("first.i").alias("i")).distinct()
     texts = save(_maybe(lines, one).join(one, ["h", "h2", "d", "i"]).select("h", "h2", "line", F.struct("d", "i").alias("first")).dropDuplicates(["h", "h2"]))
-    n = F.char_length("line")
-    spots = F.explode(F.sequence(F.col("k") * F.col("s") + 1, n - (SEGMENTS - 1 - F.col("k")) * F.col("s")))
-    variants = texts.join(near.select("h", "h2", "k", "s"), ["h", "h2"]).select("h", "h2", "line", "first", spots.alias("p")).distinct()
-    less = F.concat(F.substring("line", F.lit(1), F.col("p") - 1), F.substring("line", F.col("p") + 1, n))
-    d, i = F.col("first.d").alias("d"), F.col("first.i").alias("i")  # the earliest place names the line
-    variants = variants.select(F.xxhash64(less).alias("v"), "p", d, i).unionByName(texts.select(F.col("h").alias("v"), F.lit(0).alias("p"), d, i))
+    # the key stands for what a line shares, so a variant is the key and the rest less one character
+    length = F.char_length("line") - (SEGMENTS - 1) * F.col("s")
+    rest = texts.join(near.select("h", "h2", "k", "s", "key"), ["h", "h2"]).select("key", F.substring("line", F.col("k") * F.col("s") + 1, length).alias("rest"), F.col("first.d").alias("d"), F.col("first.i").alias("i"))
+    variants = rest.withColumn("p", F.explode(F.sequence(F.lit(0), F.char_length("rest"))))
+    less = F.when(F.col("p") == 0, F.col("rest")).otherwise(F.concat(F.substring("rest", F.lit(1), F.col("p") - 1), F.substring("rest", F.col("p") + 1, F.char_length("rest"))))
+    variants = variants.select(F.xxhash64("key", less).alias("v"), "p", "d", "i")  # the earliest place names the line; p 0: nothing deleted
     same, whole, own = Window.partitionBy("v", "p"), Window.partitionBy("v"), F.struct("d", "i")
     replaced = F.when(F.col("p") > 0, F.min(own).over(same))
     longer = F.when(F.col("p") > 0, F.min(F.when(F.col("p") == 0, own)).over(whole))
