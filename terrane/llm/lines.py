@@ -6,8 +6,9 @@ more, at edit distance 1. Earlier lines count whether they stay themselves or no
 
 Distinct lines come first, with their earliest place. A line is cut into four segments; one edit leaves three of them
 alone, so only lines that share the other three with another distinct line go on. These emit their variants as hashed
-keys: the shared segments, and the rest of the line less one character. Equal variants at one position are lines that
-differ in that character; a variant that is a whole line is one with a character less. Such groups are small by nature, and each line is only set against the earliest of its group, so no pairs within a group are made. The edit
+keys: the shared segments, and the rest of the line less one character; the rest is cut and shared in the same way once
+more before that. Equal variants at one position are lines that differ in that character; a variant that is a whole
+line is one with a character less. Such groups are small by nature, and each line is only set against the earliest of its group, so no pairs within a group are made. The edit
 distance of each pair found is verified.
 
 Nulls and empty texts have no line to remove and stay as they are. Rows of one doc_id are one document. Columns other
@@ -38,21 +39,34 @@ def segment(n: Column) -> Column:
     return F.greatest(F.floor(F.floor(n / SEGMENTS) / step) * step, F.lit(1)).cast("int")
 
 
-def segment_keys(lines: DataFrame) -> DataFrame:
-    """h, k, s, key of each line of NEAR characters and more: for each segment k that may hold the edit, a hash of the
-    others, from both ends of the line. A line gets the segments of its own length and those of one character less.
+def segments(rows: DataFrame, text: str, least: int, *above: str) -> DataFrame:
+    """rows with s and t, the lengths of a segment of the text for its own length and (if another) for one character less,
+    and key0 to key7: for each segment that may hold the edit, a hash of the others, from both ends of the text, and of
+    the columns above; by s, then by t. Texts of less than least characters have no s and t.
 
-    Every step has columns of its own, as an expression under explode is worked out anew wherever it stands.
+    Every step has columns of its own, as an expression is worked out anew wherever it stands.
     """
-    n, s = F.col("n"), F.col("s")
-    rows = lines.select("h", "line", F.char_length("line").alias("n")).where(n >= NEAR)
-    rows = rows.withColumn("s", segment(n)).withColumn("before", segment(n - 1))
-    rows = rows.withColumn("s", F.explode(F.when(s == F.col("before"), F.array("s")).otherwise(F.array("s", "before"))))
-    front = [F.substring("line", 1 + s * j, s) for j in range(SEGMENTS - 1)]
-    back = [F.substring("line", n - s * (SEGMENTS - 1 - j) + 1, s) for j in range(SEGMENTS - 1)]
-    rows = rows.select("h", "s", *(F.xxhash64(F.lit(k), s, *front[:k], *back[k:]).alias(f"key{k}") for k in range(SEGMENTS)))
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"key{k}").alias("key")) for k in range(SEGMENTS)))
-    return rows.select("h", "s", F.explode(keys).alias("x")).select("h", "s", "x.*")
+    n, kept = F.col("n__"), rows.columns
+    rows = rows.withColumn("n__", F.char_length(text))
+    rows = rows.withColumn("s", F.when(n >= least, segment(n))).withColumn("t", F.when(n >= least, segment(n - 1)))
+    rows = rows.withColumn("t", F.when(F.col("s") != F.col("t"), F.col("t")))
+    keys = []
+    for s in (F.col("s"), F.col("t")):
+        front = [F.substring(text, 1 + s * j, s) for j in range(SEGMENTS - 1)]
+        back = [F.substring(text, n - s * (SEGMENTS - 1 - j) + 1, s) for j in range(SEGMENTS - 1)]
+        keys += [F.xxhash64(*above, F.lit(k), s, *front[:k], *back[k:]) for k in range(SEGMENTS)]
+    return rows.select(*kept, "s", "t", *(key.alias(f"key{k}") for k, key in enumerate(keys)))
+
+
+def each_key(rows: DataFrame, *columns: str) -> DataFrame:
+    """columns, k (the segment left out), s, key of what segments() gives."""
+    keys = F.array(*(F.struct(F.lit(k % SEGMENTS).alias("k"), F.col("st"[k // SEGMENTS]).alias("s"), F.col(f"key{k}").alias("key")) for k in range(2 * SEGMENTS)))
+    return rows.select(*columns, F.explode(keys).alias("x")).select(*columns, "x.*").where("s IS NOT NULL")
+
+
+def left_out(text: str) -> Column:
+    """The segment k of the text, and what the other segments don't reach."""
+    return F.substring(text, F.col("k") * F.col("s") + 1, F.char_length(text) - (SEGMENTS - 1) * F.col("s"))
 
 
 def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -66,22 +80,25 @@ def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7).cast("long")).cast("int"))) != 0).drop("bucket", "m")
 
 
-def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """h, h2 of distinct lines that have an earlier line at edit distance 1."""
-    keys = segment_keys(lines)
+    keys = each_key(lines, "h")
     shared = save(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select(F.col("key").alias("h")))
     held = _maybe(keys.select(F.col("h").alias("own"), "k", "s", F.col("key").alias("h")), shared).join(shared, "h")
     held = held.select(F.col("own").alias("h"), "k", "s", F.col("h").alias("key")).distinct()
     near = save(held.join(distinct, "h").select("h", "h2", "first", "k", "s", "key"))
     one = near.select("h", "h2", F.col("first.d").alias("d"), F.col("first.i").alias("i")).distinct()
-    texts = save(_maybe(lines, one).join(one, ["h", "h2", "d", "i"]).select("h", "h2", "line", F.struct("d", "i").alias("first")).dropDuplicates(["h", "h2"]))
-    # the key stands for what a line shares, so a variant is the key and the rest less one character
-    length = F.char_length("line") - (SEGMENTS - 1) * F.col("s")
-    rest = texts.join(near.select("h", "h2", "k", "s", "key"), ["h", "h2"]).select("key", F.substring("line", F.col("k") * F.col("s") + 1, length).alias("rest"), F.col("first.d").alias("d"), F.col("first.i").alias("i"))
-    variants = rest.withColumn("p", F.explode(F.sequence(F.lit(0), F.char_length("rest"))))
+    texts = save(_maybe(_lines(docs), one).join(one, ["h", "h2", "d", "i"]).select("h", "h2", "line", F.struct("d", "i").alias("first")).dropDuplicates(["h", "h2"]))
+    # the key stands for what a line shares; the earliest place names the line
+    rest = texts.join(near.select("h", "h2", "k", "s", "key"), ["h", "h2"]).select("key", left_out("line").alias("rest"), F.col("first.d").alias("d"), F.col("first.i").alias("i"))
+    # what is left out is cut again in the same way
+    finer = save(each_key(segments(rest, "rest", 0, "key").drop("key"), "rest", "d", "i").select("key", left_out("rest").alias("rest"), "d", "i"))
+    own = F.struct("d", "i")
+    again = finer.groupBy("key").agg(F.min(own).alias("a"), F.max(own).alias("z")).where("a <> z").select("key")
+    variants = finer.join(again, "key").withColumn("p", F.explode(F.sequence(F.lit(0), F.char_length("rest"))))
     less = F.when(F.col("p") == 0, F.col("rest")).otherwise(F.concat(F.substring("rest", F.lit(1), F.col("p") - 1), F.substring("rest", F.col("p") + 1, F.char_length("rest"))))
-    variants = variants.select(F.xxhash64("key", less).alias("v"), "p", "d", "i")  # the earliest place names the line; p 0: nothing deleted
-    same, whole, own = Window.partitionBy("v", "p"), Window.partitionBy("v"), F.struct("d", "i")
+    variants = variants.select(F.xxhash64("key", less).alias("v"), "p", "d", "i")  # p 0: nothing deleted
+    same, whole = Window.partitionBy("v", "p"), Window.partitionBy("v")
     replaced = F.when(F.col("p") > 0, F.min(own).over(same))
     longer = F.when(F.col("p") > 0, F.min(F.when(F.col("p") == 0, own)).over(whole))
     shorter = F.when(F.col("p") == 0, F.min(F.when(F.col("p") > 0, own)).over(whole))
@@ -92,13 +109,12 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """d (doc_id), removed: array of the numbers (from 0) of its lines that go; only documents that lose lines."""
-    lines = _lines(docs)
+    lines = save(segments(_lines(docs), "line", NEAR).drop("line"))
     place = F.struct("d", "i")
     distinct = save(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")))
-    near = near_lines(lines, distinct)
-    gone = distinct.join(near.withColumn("near", F.lit(True)), ["h", "h2"], "left").where("near OR first < last")
-    gone = save(gone.select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    rows = _maybe(lines.select("d", "i", "h", "h2"), gone).join(gone, ["h", "h2"]).where(F.col("near") | (F.col("first") < place))
+    near = near_lines(docs, lines, distinct).select("h", "h2", F.lit(None).cast(distinct.schema["first"].dataType).alias("first"))
+    gone = save(distinct.where("first < last").select("h", "h2", "first").unionByName(near))  # first null: every one goes
+    rows = _maybe(lines.select("d", "i", "h", "h2"), gone).join(gone, ["h", "h2"]).where(F.col("first").isNull() | (F.col("first") < place))
     return rows.groupBy("d").agg(F.collect_set("i").alias("removed"))
 
 
