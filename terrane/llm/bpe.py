@@ -11,8 +11,11 @@ are read whole. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,16 @@ SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 WHITE = regex.compile(r"\p{White_Space}+")
 #: Fragments and words that a task remembers before it starts afresh.
 REMEMBERED = 300_000
+#: Symbols from which a fragment's pairs are kept in a heap; below, looking through all of them is quicker.
+LONG = 128
+
+
+def little_endian(ids: list[int]) -> bytes:
+    """ids as unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Codec:
@@ -42,45 +55,68 @@ class Codec:
         self.letters = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
         byte_of = {c: b for b, c in enumerate(self.letters)}
         self.vocab = vocab
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(file["model"]["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
+        self.size = len(vocab)
+        self.ranks = {vocab[x] * self.size + vocab[y]: i for i, (x, y) in enumerate(merges)}  # by the ids of the pair
+        self.merged = [vocab[x + y] for x, y in merges]
+        self.single = [vocab[c] for c in self.letters]
+        self.final = [vocab[c + WORD_END] for c in self.letters]
         self.special_ids = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens = {i: t for t, i in (vocab | self.special_ids).items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.special_ids)) + ")")
         self.pattern = regex.compile(PATTERN)
-        inside = np.zeros((256, 256), bool)  # byte pairs that occur inside a token
+        self.inside = bytearray(1 << 16)  # byte pairs that occur inside a token
         for token in vocab:
             b = [byte_of[c] for c in token.removesuffix(WORD_END)]
-            inside[b[:-1], b[1:]] = True
-        self.inside = inside
-        self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
+            for x, y in zip(b, b[1:], strict=False):
+                self.inside[x << 8 | y] = 1
+        self.fragments: dict[tuple[bytes, bool], list[int]] = {}
         self.words: dict[str, bytes] = {}
 
-    def fragment(self, piece: bytes, last: bool) -> tuple[int, ...]:
-        """Ids of one fragment: the lowest-ranked pair is merged until none is left."""
-        symbols = [self.letters[b] for b in piece]
+    def fragment(self, piece: bytes, last: bool) -> list[int]:
+        """Ids of one fragment: the leftmost pair of the lowest rank is merged until no pair has a rank."""
+        symbols = [self.single[b] for b in piece]
         if last:
-            symbols[-1] += WORD_END
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: self.ranks.get(p, len(self.ranks)))
-            if best not in self.ranks:
-                break
-            merged, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                    merged.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    merged.append(symbols[i])
-                    i += 1
-            symbols = merged
-        return tuple(self.vocab[s] for s in symbols)
+            symbols[-1] = self.final[piece[-1]]
+        if len(symbols) > LONG:
+            return self.long_fragment(symbols)
+        rank, size, none = self.ranks.get, self.size, len(self.merged)
+        ranks = [rank(x * size + y, none) for x, y in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [self.merged[best]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(symbols[i] * size + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] * size + symbols[i], none)
+        return symbols
+
+    def long_fragment(self, symbols: list[int]) -> list[int]:
+        """The same with a heap of pairs, so that time stays near the length for runs of any length."""
+        rank, size, end = self.ranks.get, self.size, len(symbols)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i) for i in range(end - 1) if (r := rank(symbols[i] * size + symbols[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j == end or rank(symbols[i] * size + symbols[j]) != r:
+                continue  # one of the pair is merged already
+            symbols[i], symbols[j] = self.merged[r], -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+            for x in (before[i], i):
+                if x >= 0 and (y := after[x]) < end and (r := rank(symbols[x] * size + symbols[y])) is not None:
+                    heapq.heappush(heap, (r, x))
+        return [x for x in symbols if x >= 0]
 
     def cuts(self, word: bytes) -> list[bytes]:
         """Fragments of a word, cut wherever no token could reach across."""
-        b = np.frombuffer(word, np.uint8)
-        at = np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1
-        ends = [0, *at.tolist(), len(word)]
-        return [word[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        inside = self.inside
+        at = [i for i, (x, y) in enumerate(zip(word, word[1:], strict=False), 1) if not inside[x << 8 | y]]
+        return [word[i:j] for i, j in zip([0, *at], [*at, len(word)], strict=True)]
 
     def word(self, raw: str) -> bytes:
         """Ids of a part without ASCII white space, as little-endian unsigned 32-bit integers."""
@@ -95,12 +131,12 @@ class Codec:
                         self.fragments.clear()
                     got = self.fragments[key] = self.fragment(*key)
                 ids.extend(got)
-        return np.array(ids, "<u4").tobytes()
+        return little_endian(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         if "<|" in text and self.special.search(text):
-            return b"".join(np.array([self.special_ids[s]], "<u4").tobytes() if s in self.special_ids else self.encode(s) for s in self.special.split(text) if s)
+            return b"".join(little_endian([self.special_ids[s]]) if s in self.special_ids else self.encode(s) for s in self.special.split(text) if s)
         out, words = [], self.words
         # str.split() also cuts at four control characters that are no white space to the vocabulary's pattern
         for w in text.split() if SEPARATORS.isdisjoint(text) else filter(None, WHITE.split(text)):
