@@ -9,8 +9,8 @@ node, and nodes that share sets form a cluster; only there links are possible.
 The lower levels are built per cluster (or block of a large one) by a task: leaves hold a bitmap of their tokens,
 inner nodes the OR of their children with the ranges of size and of surplus (tokens less bits). A dual traversal
 leaves node pairs whose largest possible overlap is too small, or whose documents are all linked already. It runs
-twice: first over the bitmaps alone, where what is possible counts as linked, which splits the clusters; then over the
-sets of what is still clustered, where each leaf pair is verified exactly.
+twice: first over the bitmaps alone by size ranges, where what is possible counts as linked, which splits the clusters;
+then over the sets of what is still clustered, where each leaf pair is verified exactly.
 
 Large clusters are cut by hash into blocks of bounded size, twice, so that dense clusters become one component; what
 is still apart is compared across all blocks. So no link is lost, and no task holds more than two blocks.
@@ -34,8 +34,8 @@ from terrane.llm.text import BASES, Powers, U, lower_ascii, mix, passes, shingle
 
 #: Ratio of the sizes at the ends of a size range.
 RATIO = 1.5
-#: Sets in a block, tokens in a block.
-BLOCK, BLOCK_TOKENS = 1024, 1 << 21
+#: Sets in a block, tokens in a block; signatures in a block (2 MB).
+BLOCK, BLOCK_TOKENS, BLOCK_SIGNED = 1024, 1 << 21, 4096
 #: Children of a node of the tree; words (64 bits) of a signature.
 FAN, WIDTH = 8, 64
 
@@ -255,9 +255,19 @@ def tree_links(rows: DataFrame, group: list[str], percent: int, exact: bool) ->
     return rows.groupBy(*group).applyInArrow(run, "a long, b long")
 
 
-def weight(count: str, tokens: str) -> Column:
-    """Blocks that a number of sets with a number of tokens fills."""
-    return F.greatest(F.expr(count) / BLOCK, F.expr(tokens) / BLOCK_TOKENS)
+def weight(count: str, tokens: str, exact: bool) -> Column:
+    """Blocks that a number of sets with a number of tokens, or their signatures, fills."""
+    return F.greatest(F.expr(count) / BLOCK, F.expr(tokens) / BLOCK_TOKENS) if exact else F.expr(count) / BLOCK_SIGNED
+
+
+def by_size(members: DataFrame, percent: int) -> DataFrame:
+    """members with their clusters cut into overlapping size ranges, each member in two: no link leaves them all.
+
+    The sizes of linked sets differ by 100 / percent at most, which is less than a range is wide; so they lie in the same
+    range or in neighbouring ones, and each piece of a cluster holds a range and the one below.
+    """
+    at = F.floor(F.log("n") / float(np.log(101 / percent)))
+    return members.withColumn("at", F.explode(F.array(at, at + 1))).withColumn("cluster", F.xxhash64("cluster", "at")).drop("at")
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -281,8 +291,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def joined(docs: DataFrame, members: DataFrame, n: int, percent: int, exact: bool) -> DataFrame:
     """node, component of the members (doc_id, d1, n, cluster) that links within their clusters join."""
-    apart = save(shingles(docs, n, bitmap(members, "doc_id"), exact).join(members, ["doc_id", "d1"]).dropDuplicates(["doc_id", "d1"]))
-    blocks = members.groupBy("cluster").agg(weight("count(1)", "sum(n)" if exact else "0").alias("w")).withColumn("blocks", F.ceil("w"))
+    found = shingles(docs, n, bitmap(members, "doc_id"), exact)
+    members = members if exact else by_size(members, percent)
+    apart = save(found.join(members, ["doc_id", "d1"]).dropDuplicates(["doc_id", "d1", "cluster"]))
+    blocks = members.groupBy("cluster").agg(weight("count(1)", "sum(n)", exact).alias("w")).withColumn("blocks", F.ceil("w"))
     bins = int(blocks.where("blocks = 1").agg(F.sum("w")).first()[0] or 0) + 1
     apart = apart.join(blocks.drop("w"), "cluster").withColumn("label", F.lit(None).cast("long"))
     found = tree_links(apart.where("blocks = 1").withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(bins))), ["g"], percent, exact)
@@ -301,7 +313,7 @@ def across(large: DataFrame, found: DataFrame, percent: int, exact: bool) -> Dat
     rows = save(large.drop("label").join(parts, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
     count = rows.groupBy("cluster", "label").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
     main = count.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    rest = count.join(main, "cluster").where("label <> main").groupBy("cluster", "main").agg(F.ceil(weight("sum(k)", "sum(w)")).alias("rests"))
+    rest = count.join(main, "cluster").where("label <> main").groupBy("cluster", "main").agg(F.ceil(weight("sum(k)", "sum(w)", exact)).alias("rests"))
     rows = rows.join(rest, "cluster").withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks"))  # clusters of one part are done
     every = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
     few = rows.where("label <> main").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(3)), "rests"))

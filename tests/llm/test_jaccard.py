@@ -48,6 +48,7 @@ def test_same_as_brute_force(spark, n, percent):
 
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_SIGNED", 8)
     rows = near_copies(5, docs=3, length=90, copies=40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in jaccard.similar(docs, 3, 90).collect()} == brute(rows, 3, 90)
