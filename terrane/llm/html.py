@@ -7,6 +7,10 @@ both. Branches of low importance are cut from each page, as long as the site sho
 element or class says what they are (menu, footer, advert, form, script, comments) are cut on any page. If a page has an
 article or main element, only what is below counts.
 
+A whole class, id or role that is a word of SAYS says so. A name that merely contains one (has-sidebar, cookie-notice) is
+a hint: it cuts a branch outside of article and main that holds neither, nor more than half of the page's text. Ids of
+headings are anchors and say nothing.
+
 Blocks are the texts between the borders of block elements. Character references are decoded, white space becomes one
 blank, blocks are joined by one blank. Nulls and empty pages have the empty text. Pages without a host share the host
 "". Repeated rows are judged each. Pages are read whole. Columns other than page_id, url and html are ignored. An empty
@@ -34,12 +38,13 @@ BLOCKS = frozenset(
 RAW = frozenset("script style noscript template iframe textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CUT = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea menu dialog object canvas audio video".split())
-#: Parts of class and id names, and roles, that say that a branch is no main text.
+#: Classes, ids and roles that say that a branch is no main text; as a part of a name they hint at it.
 SAYS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login sidebar "
     "menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies share sharing social related recommended widget popup modal overlay masthead search "
     "contentinfo complementary toolbar pagination pager skip".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that the start of another ends: start -> what is ended, and where to stop looking.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
@@ -51,10 +56,11 @@ class Page:
     """Blocks (path, text, in an article or main element) that nothing marks as other than main text, and child sequences."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool]] = []
-        self.children: dict[str, list[str]] = {}
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # element, path, cut, main
-        self.text: list[str] = []
+        self.found: list[tuple[str, list[tuple[str, tuple]], bool]] = []  # path, texts with the hints around them, main
+        self.styles: dict[str, list[tuple[str, tuple]]] = {}
+        self.hints: list[list] = []  # each: whether it holds an article or main element, characters of text
+        self.stack: list[tuple[str, str, bool, bool, tuple]] = [("", "", False, False, ())]  # element, path, cut, main, hints
+        self.text: list[tuple[str, tuple]] = []
         at = 0
         while m := TOKEN.search(html, at):
             self.add(html[at : m.start()])
@@ -72,24 +78,42 @@ class Page:
                         self.add(html[at : end.start()])
                     at = end.start()
         self.add(html[at:])
+        while len(self.stack) > 1:
+            self.pop()
         self.flush()
+        self.judge()
 
     def add(self, raw: str) -> None:
-        if raw:
-            self.text.append(raw)
+        _, _, cut, _, hints = self.stack[-1]
+        if raw and not cut:
+            self.text.append((raw, hints))
 
     def flush(self) -> None:
-        if self.text:
-            _, path, cut, main = self.stack[-1]
-            if not cut and (text := " ".join(references.unescape("".join(self.text)).split())):
-                self.blocks.append((path, text, main))
+        _, path, cut, main, _ = self.stack[-1]
+        if self.text and not cut:  # what stands before a cut inline element waits for the rest of its block
+            self.found.append((path, self.text, main))
             self.text = []
 
+    def judge(self) -> None:
+        """Blocks and children, once the whole page shows which hints cut."""
+        total = 0
+        if self.hints:
+            for raw, hints in (t for _, texts, _ in self.found for t in texts):
+                n = len(raw.strip())
+                total += n
+                for hint in hints:
+                    hint[1] += n
+        cut = {id(h) for h in self.hints if not h[0] and 2 * h[1] <= total}
+        stays = lambda hints: not cut or not any(id(h) in cut for h in hints)
+        texts = ((path, " ".join(references.unescape("".join(raw for raw, hints in texts if stays(hints))).split()), main) for path, texts, main in self.found)
+        self.blocks: list[tuple[str, str, bool]] = [b for b in texts if b[1]]
+        self.children: dict[str, list[str]] = {path: c for path, styles in self.styles.items() if (c := [style for style, hints in styles if stays(hints)])}
+
     def open(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self.flush()
         if name == "br":
-            self.text.append(" ")
+            self.add(" ")
         if name in VOID:
             return
         if name in BLOCKS and name not in ("body", "html") and any(e[0] == "p" for e in self.stack):
@@ -98,19 +122,29 @@ class Page:
             ended, stop = ENDS[name]
             while self.stack[-1][0] not in stop and any(e[0] in ended for e in self.upto(stop)):
                 self.pop()
-        _, path, cut, main = self.stack[-1]
-        marks, style = set(), name
+        _, path, cut, main, hints = self.stack[-1]
+        names, roles, style = set(), set(), name
         if attributes:
             for key, *values in ATTRIBUTE.findall(attributes):
-                value = next((v for v in values if v), "").lower()
-                marks.update(re.split(r"[^a-z0-9]+", value))
-                if key.lower() == "class":
+                value, key = next((v for v in values if v), "").lower(), key.lower()
+                if key != "id" or name not in HEADINGS:
+                    (roles if key == "role" else names).update(value.split())
+                if key == "class":
                     style += "." + ".".join(sorted(value.split()))
-        cut = cut or name in CUT or (name not in ("html", "body", "article", "main") or "comment" in marks) and not SAYS.isdisjoint(marks) or name == "header" and not main
-        main = main or name in ("article", "main") or "main" in marks and "role" in attributes.lower()
+        if name in ("html", "body", "article", "main"):
+            cut = cut or name == "article" and "comment" in names
+        else:
+            cut = cut or name in CUT or not SAYS.isdisjoint(names) or not SAYS.isdisjoint(roles) or name == "header" and not main
+            if not cut and not main and any(not SAYS.isdisjoint(re.split(r"[^a-z0-9]+", n)) for n in names):
+                self.hints.append([False, 0])
+                hints += (self.hints[-1],)
+        if not cut and (name in ("article", "main") or "main" in roles):
+            main = True
+            for hint in hints:
+                hint[0] = True
         if not cut:
-            self.children.setdefault(path, []).append(style)
-        self.stack.append((name, f"{path}>{style}" if name in BLOCKS or cut else path, cut, main))
+            self.styles.setdefault(path, []).append((style, hints))
+        self.stack.append((name, f"{path}>{style}" if name in BLOCKS or cut else path, cut, main, hints))
         if attributes.endswith("/"):
             self.pop()
 
@@ -121,7 +155,7 @@ class Page:
             yield e
 
     def pop(self) -> None:
-        if self.stack[-1][0] in BLOCKS or self.stack[-1][2]:
+        if self.stack[-1][0] in BLOCKS:
             self.flush()
         self.stack.pop()
 
