@@ -22,7 +22,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier equal or nearly equal line go; so do documents that have no line left but had one."""
-    rows = lines.dedup(docs).where("n_removed = 0 OR trim(text) <> ''")
+    rows = lines.dedup(docs).where((F.col("n_removed") == 0) | ~lines.blank("text"))
     return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -1,8 +1,8 @@
 """Line dedup across documents by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are the \\n-split parts of a text, trimmed of blanks for comparison; blank lines are never compared and always
-stay. A line is removed if an earlier line, by (doc_id, line number), is equal or, for lines of NEAR characters and
-more, at edit distance 1. Earlier lines count whether they stay themselves or not.
+Lines are the \\n-split parts of a text, trimmed of blanks for comparison; blank lines (nothing but WHITE)
+are never compared and always stay. A line is removed if an earlier line, by (doc_id, line number), is equal or, for
+lines of NEAR characters and more, at edit distance 1. Earlier lines count whether they stay themselves or not.
 
 Distinct lines come first, with their earliest place. A line is cut into four segments; one edit leaves three of them
 alone, so only lines that share the other three with another distinct line go on. These emit their variants as hashed
@@ -24,12 +24,19 @@ from terrane.llm.shared import BITS, BUCKET, placed, save
 
 #: Least number of characters of a line that is compared by edit distance; shorter ones only by equality.
 NEAR = 16
+#: White space: blank, tab, line feed, vertical tab, form feed, carriage return.
+WHITE = " \t\n\x0b\x0c\r"
 SEGMENTS = 4
 
 
+def blank(text: str) -> Column:
+    """Whether a text has nothing but white space."""
+    return F.ltrim(text, F.lit(WHITE)) == ""
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("d"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where("line <> '' AND d IS NOT NULL")
+    rows = rows.withColumn("line", F.trim("line")).where(~blank("line") & F.col("d").isNotNull())
     return rows.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
