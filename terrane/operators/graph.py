@@ -62,13 +62,14 @@ def reduce_once(units: DataFrame, edges: DataFrame, strength: float) -> DataFram
     return rows.withColumn("state", F.when(out, 0).otherwise(F.col("state"))).drop("open")
 
 
-def reduce_fixpoint(units: DataFrame, edges: DataFrame, strength: float, save, rounds: int = 50) -> tuple[DataFrame, int]:
-    """Rounds until nothing changes; save(df) writes each round's table to shared storage. Returns the units and the rounds."""
+def reduce_fixpoint(units: DataFrame, edges: DataFrame, strength: float, save) -> tuple[DataFrame, int]:
+    """Rounds until nothing changes, however many it takes; save(df) writes the edges and each round's table to shared
+    storage, so that no round works out the ones before it again. Returns the units and the rounds."""
+    edges, k = save(edges), 0
     out = units.where("state = 0").count()
-    for k in range(1, rounds + 1):
-        units = save(reduce_once(units, edges, strength))
+    while True:
+        units, k = save(reduce_once(units, edges, strength)), k + 1
         now = units.where("state = 0").count()
         if now == out:
             return units, k
         out = now
-    return units, rounds

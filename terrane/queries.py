@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import geo, masks
+from terrane.functions.shared import save
 from terrane.operators import graph, grid, metadata, model, resample
 from terrane.plans import objective as plan
 from terrane.streaming import changes
@@ -232,7 +233,7 @@ def presolve_one_round(spark, d):
 def presolve_fixpoint(spark, d):
     s = states(spark, d)
     o = s.select("unit", "state", ((F.col("p_size") - 30) / 10.0).alias("objective"))
-    return graph.reduce_fixpoint(o, graph.rook_edges(s), 0.25, lambda df: df)[0].select("unit", "state")
+    return graph.reduce_fixpoint(o, graph.rook_edges(s), 0.25, save)[0].select("unit", "state")
 
 
 _NZ = "nz AS (SELECT l_suppkey AS row_id, l_partkey AS unit, sum(l_quantity - 25)::DOUBLE AS coef FROM lineitem GROUP BY 1, 2)"
