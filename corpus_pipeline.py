@@ -22,8 +22,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier equal or nearly equal line go; so do documents that have no line left but had one."""
-    rows = lines.dedup(docs).where((F.col("n_removed") == 0) | ~lines.blank("text"))
-    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    own = {c: lines.free(docs, f"{c}__") for c in docs.columns if c.lower() in ("n_lines", "n_removed")}  # the counts would take their place
+    rows = lines.dedup(docs.withColumnsRenamed(own)).where((F.col("n_removed") == 0) | ~lines.blank("text"))
+    rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

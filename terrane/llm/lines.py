@@ -125,11 +125,21 @@ def removals(docs: DataFrame) -> DataFrame:
     return rows.groupBy("d").agg(F.collect_set("i").alias("removed"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df has it; case doesn't tell columns apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with text less its removed lines, and n_lines, n_removed (int)."""
-    gone = removals(docs)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]), "left")
+    """docs with text less its removed lines, and n_lines, n_removed (int), which take the place of columns of that name."""
+    d, removed = free(docs, "d"), free(docs, "removed")
+    gone = removals(docs).toDF(d, removed)
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(d)), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")], text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(removed, i))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    return out.select(*others, text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"))
