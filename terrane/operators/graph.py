@@ -52,23 +52,35 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("unit").agg(F.count("*").alias("degree"))
 
 
-def reduce_once(units: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
+def protected(nonzeros: DataFrame, rows: DataFrame) -> DataFrame:
+    """unit: those that a bound may need: a positive coefficient in a row with a finite lower bound, or a negative one in
+    a row with a finite upper bound. nonzeros: row_id, unit, coef. rows: row_id, low, high."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    needed = (F.col("coef") > 0) & finite("low") | (F.col("coef") < 0) & finite("high")
+    return nonzeros.join(rows.select("row_id", F.col("low").cast("double"), F.col("high").cast("double")), "row_id").where(needed).select("unit").distinct()
+
+
+def reduce_once(units: DataFrame, edges: DataFrame, strength: float, kept: DataFrame | None = None) -> DataFrame:
     """One round: a flexible unit goes out for sure if its objective plus all it could gain from neighbours that are not
-    out stays at or below nought."""
+    out stays at or below nought. Units of kept (unit: see protected) stay flexible."""
     both = edges.select(F.col("a").alias("unit"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("unit"), F.col("a").alias("other")))
     gain = both.join(units.where("state <> 0").select(F.col("unit").alias("other")), "other").groupBy("unit").agg(F.count("*").alias("open"))
     rows = units.join(gain, "unit", "left").withColumn("open", F.coalesce("open", F.lit(0)))
     out = (F.col("state") == -1) & (F.col("objective") + strength * F.col("open") <= 1e-12)
-    return rows.withColumn("state", F.when(out, 0).otherwise(F.col("state"))).drop("open")
+    if kept is None:
+        return rows.withColumn("state", F.when(out, 0).otherwise(F.col("state"))).drop("open")
+    gone = rows.where(out).select("unit").join(kept, "unit", "left_anti").withColumn("gone", F.lit(True))
+    return rows.join(gone, "unit", "left").withColumn("state", F.when(F.col("gone"), 0).otherwise(F.col("state"))).drop("open", "gone")
 
 
-def reduce_fixpoint(units: DataFrame, edges: DataFrame, strength: float, save) -> tuple[DataFrame, int]:
+def reduce_fixpoint(units: DataFrame, edges: DataFrame, strength: float, save, kept: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Rounds until nothing changes, however many it takes; save(df) writes the edges and each round's table to shared
-    storage, so that no round works out the ones before it again. Returns the units and the rounds."""
+    storage, so that no round works out the ones before it again. Units of kept stay flexible. Returns the units and the rounds."""
     edges, k = save(edges), 0
+    kept = None if kept is None else save(kept)
     out = units.where("state = 0").count()
     while True:
-        units, k = save(reduce_once(units, edges, strength)), k + 1
+        units, k = save(reduce_once(units, edges, strength, kept)), k + 1
         now = units.where("state = 0").count()
         if now == out:
             return units, k

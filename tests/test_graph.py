@@ -30,3 +30,15 @@ def test_fixpoint_of_a_long_chain_as_brute_force(spark):
     frame = spark.createDataFrame(units, "unit long, row long, col long, objective double, state int")
     got, n = graph.reduce_fixpoint(frame.select("unit", "objective", "state"), graph.rook_edges(frame), 0.25, save)
     assert n == rounds and {u.unit: u.state for u in got.collect()} == want
+
+
+def test_units_that_bounds_need_stay_flexible(spark):
+    units = spark.createDataFrame([(k, 0, k, -5.0, -1) for k in range(8)] + [(8, 0, 8, -0.25, -1)], "unit long, row long, col long, objective double, state int")
+    rows = spark.createDataFrame([(1, 1.0, None), (2, None, 4.0), (3, None, None), (4, float("-inf"), float("nan"))], "row_id long, low double, high double")
+    coefs = [(1, 0, 2.0), (1, 1, -2.0), (2, 2, 1.0), (2, 3, -1.0), (1, 3, 1.0), (3, 4, 1.0), (3, 5, -1.0), (4, 6, 1.0), (4, 7, -1.0), (1, 8, 0.0), (9, 7, 1.0)]
+    kept = graph.protected(spark.createDataFrame(coefs, "row_id long, unit long, coef double"), rows)
+    assert sorted(r.unit for r in kept.collect()) == [0, 3]
+    once = graph.reduce_once(units.select("unit", "objective", "state"), graph.rook_edges(units), 0.25, kept)
+    assert {r.unit for r in once.where("state = -1").collect()} == {0, 3}
+    got, _ = graph.reduce_fixpoint(units.select("unit", "objective", "state"), graph.rook_edges(units), 0.25, save, kept)
+    assert {r.unit for r in got.where("state = -1").collect()} == {0, 3} and got.count() == 9
