@@ -50,6 +50,8 @@ ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl")
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 #: A node is cut if it was seen on PAGES pages at least, its importance is below LOW, and the site has one above HIGH.
 PAGES, LOW, HIGH, PRESENTATION = 5, 0.1, 0.5, 0.1
+#: Parts that the pages of a host are dealt into; what is known of the host goes to each.
+PARTS = 64
 
 
 class Page:
@@ -212,7 +214,9 @@ def extract(pages: DataFrame) -> DataFrame:
     nodes = importance(pages)
     low = F.array_sort(F.collect_list(F.when((F.col("pages") >= PAGES) & (F.col("importance") < LOW), F.col("path"))))
     sites = nodes.groupBy("host").agg(low.alias("low"), F.max("importance").alias("most")).where((F.size("low") > 0) & (F.col("most") > HIGH))
-    rows = pages.join(sites.select("host", "low"), "host", "left").select("page_id", "url", "html", "low")
+    sites = sites.select("host", "low", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    dealt = pages.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
+    rows = dealt.join(sites, ["host", "part"], "left").select("page_id", "url", "html", "low")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,10 +144,11 @@ def range_buckets(df: DataFrame, key: str, buckets: int) -> Column:
 def running_sum(df: DataFrame, key: str, descending: bool, tie: str, value: str, name: str, buckets: int = 64) -> DataFrame:
     """Inclusive running sum over the whole table without one task for it: bucket sums give each bucket its start.
 
-    Rows of one bucket are added in order of (key, tie); the bucket totals are one small row each.
+    Rows of one bucket are added in order of (key, tie); the bucket totals are one small row each. Rows without a key have
+    a bucket of their own, the last if descending, else the first.
     """
     b = range_buckets(df, key, buckets)
-    rows = df.withColumn("b", -b if descending else b)
+    rows = df.withColumn("b", F.coalesce(-b, F.lit(1)) if descending else F.coalesce(b, F.lit(-1)))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("b").agg(F.sum(value).alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).select("b", "start")
     order = F.col(key).desc() if descending else F.col(key).asc()
