@@ -1,23 +1,24 @@
 """Self join of documents on the Jaccard similarity of word n-grams, through signature trees.
 
-The upper levels of the tree are spread over the cluster. A node is a size range and one part of the token space: the
-tokens of a set fall by hash into one part more than the symmetric difference of two linked sets can have tokens, so
-that two linked sets agree on a whole part at least. One part is added and empty parts are left out; a set with two
-empty parts or more also keeps those, as two such sets could agree on them alone. Sets that agree on a part share a
-node, and nodes that share sets form a cluster; only there links are possible.
+Only token sets that can have a link are built whole. Tokens of one set alone can't be shared, so a set with more of them
+than linked sets can differ by has no link; a part of the token space, counted over all documents, shows that of most
+sets. For the sets left, all tokens are counted and put in one order, rare ones first.
 
-The lower levels are built per cluster (or block of a large one) by a task: leaves hold a bitmap of their tokens,
-inner nodes the OR of their children with the ranges of size and of surplus (tokens less bits). A dual traversal
-leaves node pairs whose largest possible overlap is too small, or whose documents are all linked already. It runs
-twice: first over the bitmaps alone by size ranges, where what is possible counts as linked, which splits the clusters;
-then over the sets of what is still clustered, where each leaf pair is verified exactly.
+The upper levels of the tree are spread over the cluster: a node is one of the rarest tokens of its sets, so many of each
+set that two linked sets have one of them in common (all tokens but so many that those left are too few for a link). A
+passage that many unlike documents share has frequent tokens and makes no node. Nodes with the same sets are one.
 
-Large clusters are cut by hash into blocks of bounded size, twice, so that dense clusters become one component; what
-is still apart is compared across all blocks. So no link is lost, and no task holds more than two blocks.
+Sets are tied to one set of a node each, tied pairs are verified on whole token sets, and only verified links are
+closed to components. Nodes whose sets are all of one component are done. The others become signature trees, cut into
+size ranges: leaves hold a bitmap of their tokens, inner nodes the OR of their children with the ranges of size and of
+surplus (tokens less bits). A dual traversal leaves node pairs whose largest possible overlap is too small, or whose
+documents are all linked already. Pairs that come through are verified exactly, each once. So no link is lost.
+
+Nodes of more than BLOCK sets are compared in blocks: the sets outside the largest component against all sets.
 
 Nulls and texts without words have an empty set and are linked with nothing. Texts with fewer words than n have their
 word sequence as only token. Repeated rows have equal sets and are linked. Texts are read whole, of any length. Columns
-besides doc_id and text are ignored. An empty table gives an empty result.
+besides doc_id and text are ignored. An empty table gives an empty result. A set is known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -26,28 +27,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.shared import among, bitmap, components, save
 from terrane.llm.text import BASES, Powers, U, lower_ascii, mix, passes, shingle_sets, utf8, word_hashes, words
 
-#: Ratio of the sizes at the ends of a size range.
-RATIO = 1.5
-#: Sets in a block, tokens in a block; signatures in a block (2 MB).
-BLOCK, BLOCK_TOKENS, BLOCK_SIGNED = 1024, 1 << 21, 4096
-#: Children of a node of the tree; words (64 bits) of a signature.
-FAN, WIDTH = 8, 64
-
-
-def ranges(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest sizes of the size ranges, and how many parts each range has (0: only equal sets can be linked)."""
-    low = [1]
-    while low[-1] < top:
-        low.append(max(low[-1] + 1, int(np.ceil(low[-1] * RATIO))))
-    low = np.array(low, np.int64)
-    differ = (low[1:] - 1) * (100 - percent) // percent
-    return low, np.where(differ > 0, differ + 2, 0)
+#: Sets in a block of a large node; bytes of signatures in a task over small nodes.
+BLOCK, BLOCK_SIGNED = 4096, 1 << 22
+#: Children of a node of the tree; words (64 bits) of a signature unless said; bits per token.
+FAN, WIDTH, BITS_PER_TOKEN = 8, 64, 4
+#: A key with more than one in HOT rows is joined by broadcast (of HOT rows at most), other keys by shuffle.
+HOT = 1 << 14
+#: Sets of a node in one task when they are joined with what is known of the node.
+SLICE = 100_000
+#: Part of the token space counted first, in allowed differences.
+FIRST = 1.7
+#: Tokens verified in one numpy pass.
+PASS_TOKENS = 1 << 20
 
 
 def sets(batch: pa.RecordBatch, n: int, powers: tuple[Powers, Powers]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,35 +69,6 @@ def digests(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(mix(sums(mix(tokens ^ U(BASES[k])), doc, len(size)) + size * U(BASES[1 - k])) for k in range(2))
 
 
-def node_keys(tokens: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document and key of each node of the upper levels that a document belongs to."""
-    low, parts = ranges(percent)
-    size = np.diff(offsets)
-    own = np.searchsorted(low, size, "right") - 1
-    spread, body = mix(tokens ^ U(0x5851F42D4C957F2D)), mix(tokens)
-    docs, keys = [], []
-    for back in (0, 1):
-        f = np.maximum(own - back, 0)
-        ok = (size > 0) & (own >= back) & (parts[f] > 0)
-        if back:  # a smaller partner may lie in the range below
-            ok &= size * percent <= (low[f + 1] - 1) * 100
-        m = np.where(ok, parts[f], 0)
-        base = np.concatenate([[0], np.cumsum(m)])
-        doc = np.repeat(np.arange(len(size)), size)
-        use = ok[doc]
-        doc = doc[use]
-        at = base[doc] + (((spread[use] >> U(32)) * m[doc].astype(U)) >> U(32)).astype(np.int64)
-        total = int(base[-1])
-        filled = np.bincount(at, minlength=total) > 0
-        owner = np.repeat(np.arange(len(size)), m)
-        part = np.arange(total) - base[owner]
-        keep = filled | (np.bincount(owner[~filled], minlength=len(size)) > 1)[owner]
-        key = mix(sums(body[use], at, total) + mix(part.astype(U) + f[owner].astype(U) * U(BASES[0])))
-        docs.append(owner[keep])
-        keys.append(key[keep])
-    return np.concatenate(docs), np.concatenate(keys)
-
-
 def base(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (hashes of the set) of every document."""
 
@@ -114,67 +82,57 @@ def base(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """key, d1: the sets (by hash) at each node of the upper levels.
-
-    Sets of one batch that meet at a node are tied to the first of them by a key of its own instead, so that a large
-    group of near copies gives a node about one row a batch.
-    """
+def first_tokens(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> DataFrame:
+    """token, d1: the tokens of one part of the token space, of the documents that may be wanted, by the bitmap."""
+    below = U(min(int(FIRST * (100 - percent) / 100 * 2**64), 2**64 - 1))
+    bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASES[0]), Powers(BASES[1])
         for batch in batches:
-            keys, of = [np.zeros(0, U)], [np.zeros(0, U)]
-            seen: set[int] = set()
+            batch = batch.filter(pa.array(among(bits.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
             for _, _, t, o in sets(batch, n, powers):
-                d1 = digests(t, o)[0]
-                fresh = np.array([not (x in seen or seen.add(x)) for x in d1.tolist()], bool) if len(d1) else np.zeros(0, bool)
-                doc, key = node_keys(t, o, percent)
-                keys.append(key[fresh[doc]])
-                of.append(d1[doc][fresh[doc]])
-            key, d1 = np.concatenate(keys), np.concatenate(of)
-            order = np.argsort(key, kind="stable")
-            key, d1 = key[order], d1[order]
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            first = d1[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else d1
-            later = ~head & (first != d1)
-            ties = np.unique(np.stack([first[later], d1[later]]), axis=1)
-            tied = np.unique(ties[0])
-            key = np.concatenate([key[head], mix(ties[0] + U(1)), mix(tied + U(1))])
-            d1 = np.concatenate([d1[head], ties[1], tied])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d1.view(np.int64))], ["key", "d1"])
-
-    return docs.select("text").mapInArrow(run, "key long, d1 long")
-
-
-def signature(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """WIDTH words of bits for each set."""
-    out = np.zeros((len(offsets) - 1, WIDTH), U)
+                use = mix(t) <= below
+                d1 = np.repeat(digests(t, o)[0], np.diff(o))[use]
+                yield pa.RecordBatch.from_arrays([pa.array(t[use].view(np.int64)), pa.array(d1.view(np.int64))], ["token", "d1"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "token long, d1 long")
+
+
+def signature(tokens: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """width words (a power of two) of bits for each set. The OR of the halves is the signature of half the width."""
+    out = np.zeros((len(offsets) - 1, width), U)
     row = np.repeat(np.arange(len(out)), np.diff(offsets))
-    bit = (mix(tokens) >> U(64 - int(np.log2(WIDTH * 64)))).astype(np.int64)
-    np.bitwise_or.at(out.reshape(-1), row * WIDTH + (bit >> 6), U(1) << (bit & 63).astype(U))
+    bit = (mix(tokens) & U(width * 64 - 1)).astype(np.int64)
+    np.bitwise_or.at(out.reshape(-1), row * width + (bit >> 6), U(1) << (bit & 63).astype(U))
     return out
 
 
-def shingles(docs: DataFrame, n: int, wanted: np.ndarray, exact: bool) -> DataFrame:
-    """doc_id, d1, tokens (sorted; if not exact the words of the signature) of the documents that may be wanted, by the bitmap."""
+def widths(size: np.ndarray, percent: int) -> np.ndarray:
+    """Words of the signature of sets by their sizes: enough for the largest size of their range."""
+    ratio = 101 / percent
+    top = ratio ** (np.floor(np.log(np.maximum(size, 1)) / np.log(ratio)) + 1)
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(BITS_PER_TOKEN * top / 64, 1))).astype(np.int64))
+
+
+def shingles(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> DataFrame:
+    """doc_id, d1, tokens (sorted), signature of the documents that may be wanted, by the bitmap."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASES[0]), Powers(BASES[1])
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array(among(bits.value, ids)))
+            batch = batch.filter(pa.array(among(bits.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
             ids = batch.column("doc_id")
             for i, j, t, o in sets(batch, n, powers):
-                d1 = digests(t, o)[0]
-                if not exact:
-                    t, o = signature(t, o).reshape(-1), np.arange(j - i + 1) * WIDTH
+                d1 = pa.array(digests(t, o)[0].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(t.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(d1.view(np.int64)), lists], ["doc_id", "d1", "tokens"])
+                w = widths(np.diff(o), percent).tolist()
+                signs = pa.array([signature(t[o[k] : o[k + 1]], o[k : k + 2] - o[k], w[k]).tobytes() for k in range(j - i)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), d1, lists, signs], ["doc_id", "d1", "tokens", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, d1 long, tokens array<long>")
+    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    return docs.mapInArrow(run, "doc_id long, d1 long, tokens array<long>, signature binary")
 
 
 class Tree:
@@ -201,15 +159,18 @@ class Tree:
         return i[ok], j[ok]
 
 
-def links(tree: Tree, tokens: list[np.ndarray] | None, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join all sets which links join. Sets with equal labels are joined already. Without tokens what is possible counts."""
-    n, step, out = len(label), np.arange(FAN), []
+def links(tree: Tree, tokens: list[np.ndarray] | None, label: np.ndarray, percent: int) -> list[tuple[int, int]] | np.ndarray:
+    """Pairs of sets with unequal labels that the tree leaves; with tokens, those of them that are links."""
+    n, step, out = len(label), np.arange(FAN), [np.zeros((0, 2), np.int64)]
     label = np.unique(label, return_inverse=True)[1]
+    ends = []
+    for level in range(len(tree.levels)):
+        at = np.arange(0, n, FAN**level)
+        ends.append((np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)))
     stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
-        at = np.arange(0, n, FAN**level)
-        lo, hi = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+        lo, hi = ends[level]
         apart = (lo[i] != hi[i]) | (lo[j] != hi[j]) | (lo[i] != lo[j])
         i, j = tree.possible(level, i[apart], j[apart], percent)
         if level:
@@ -219,55 +180,162 @@ def links(tree: Tree, tokens: list[np.ndarray] | None, label: np.ndarray, percen
             keep = (ci < below) & (cj < below) & (ci <= cj if level > 1 else ci < cj)
             ci, cj = ci[keep], cj[keep]
             stack += [(level - 1, ci[k : k + 8192], cj[k : k + 8192]) for k in range(0, len(ci), 8192)]
-            continue
-        linked = True
-        while linked:
-            keep = label[i] != label[j]
-            i, j, linked = i[keep], j[keep], False
-            for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                if tokens:
-                    union = len(np.unique(np.concatenate([tokens[a], tokens[b]])))
-                    both = len(tokens[a]) + len(tokens[b]) - union
-                if not tokens or 100 * both >= percent * union:
-                    out.append((a, b))
-                    label = np.where(label == label[b], label[a], label)
-                    i, j, linked = i[k + 1 :], j[k + 1 :], True
-                    break
+        else:
+            out.append(np.stack([i, j], 1))
+    pairs = np.concatenate(out)
+    if tokens is None:
+        return pairs
+    both = [len(np.intersect1d(tokens[a], tokens[b], assume_unique=True)) for a, b in pairs.tolist()]
+    return [(a, b) for (a, b), k in zip(pairs.tolist(), both, strict=True) if 100 * k >= percent * (len(tokens[a]) + len(tokens[b]) - k)]
+
+
+def folded(signatures: pa.Array) -> np.ndarray:
+    """Signatures of several widths as rows of the least of these widths."""
+    flat = np.frombuffer(signatures.buffers()[2], np.uint8) if len(signatures) else np.zeros(0, np.uint8)
+    o = np.frombuffer(signatures.buffers()[1], np.int64)[signatures.offset : signatures.offset + len(signatures) + 1]
+    length = np.diff(o)
+    least = int(length.min())
+    out = np.zeros((len(length), least // 8), U)
+    for w in np.unique(length).tolist():
+        of = np.flatnonzero(length == w)
+        rows = np.stack([flat[o[k] : o[k + 1]] for k in of.tolist()]).view(U)
+        out[of] = np.bitwise_or.reduce(rows.reshape(len(of), w // least, least // 8), axis=1)
     return out
 
 
-def tree_links(rows: DataFrame, group: list[str], percent: int, exact: bool) -> DataFrame:
-    """a, b: links between the documents of each group of rows (doc_id, n, tokens, cluster, label, group columns). label: what is joined already, or null."""
+def tree_pairs(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
+    """a, b (d1): pairs that the signature tree of each group of rows (node, at, d1, n, label, signature) leaves."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, cluster, size = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "n"))
-        new = table.column("label").is_null().to_numpy(zero_copy_only=False)
-        label = np.where(new, ids, table.column("label").fill_null(0).to_numpy())
-        lists = table.column("tokens").combine_chunks()
-        flat, o = lists.values.to_numpy(zero_copy_only=False).view(U), lists.offsets.to_numpy()
-        order = np.lexsort((ids, size, np.where(new, 0, label), cluster))
-        sig = signature(flat[o[0] : o[-1]], o - o[0]) if exact else flat[o[0] : o[-1]].reshape(-1, WIDTH)
-        tree = Tree(sig[order], size[order], cluster[order])
-        pairs = links(tree, [flat[o[k] : o[k + 1]] for k in order] if exact else None, label[order], percent)
-        at = order[np.array(pairs, np.int64).reshape(-1, 2)]
-        return pa.table({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
+        ids, size, label, node, at = (table.column(c).to_numpy() for c in ("d1", "n", "label", "node", "at"))
+        cluster = np.unique(mix(node.view(U) ^ mix(at.astype(U))), return_inverse=True)[1]
+        order = np.lexsort((ids, size, label, cluster))
+        sig = folded(pa.chunked_array(table.column("signature").chunks, pa.binary()).cast(pa.large_binary()).combine_chunks())
+        pairs = order[links(Tree(sig[order], size[order], cluster[order]), None, label[order], percent)]
+        a, b = np.minimum(ids[pairs[:, 0]], ids[pairs[:, 1]]), np.maximum(ids[pairs[:, 0]], ids[pairs[:, 1]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy(*group).applyInArrow(run, "a long, b long")
 
 
-def weight(count: str, tokens: str, exact: bool) -> Column:
-    """Blocks that a number of sets with a number of tokens, or their signatures, fills."""
-    return F.greatest(F.expr(count) / BLOCK, F.expr(tokens) / BLOCK_TOKENS) if exact else F.expr(count) / BLOCK_SIGNED
+def common(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """How many tokens the two sets of each row have in common."""
+    out = np.zeros(len(a), np.int64)
+    oa, ob = (x.offsets.to_numpy() for x in (a, b))
+    ta, tb = (x.values.to_numpy(zero_copy_only=False) for x in (a, b))
+    for i, j in passes((oa - oa[0]).astype(np.int64) + ob - ob[0], PASS_TOKENS):
+        row = np.concatenate([np.repeat(np.arange(j - i), np.diff(o[i : j + 1])) for o in (oa, ob)])
+        t = np.concatenate([ta[oa[i] : oa[j]], tb[ob[i] : ob[j]]])
+        order = np.lexsort((t, row))
+        t, row = t[order], row[order]
+        out[i:j] = np.bincount(row[1:][(t[1:] == t[:-1]) & (row[1:] == row[:-1])], minlength=j - i)
+    return out
+
+
+def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs that are links, by their whole token sets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            both = common(x, y)
+            union = np.diff(x.offsets.to_numpy()).astype(np.int64) + np.diff(y.offsets.to_numpy()) - both
+            yield batch.select(["a", "b"]).filter(pa.array(100 * both >= percent * union))
 
-def by_size(members: DataFrame, percent: int) -> DataFrame:
-    """members with their clusters cut into overlapping size ranges, each member in two: no link leaves them all.
+    pairs = pairs.join(found.select(F.col("d1").alias("b"), F.col("tokens").alias("y")), "b")  # a hot b meets narrow rows
+    pairs = pairs.join(found.select(F.col("d1").alias("a"), F.col("tokens").alias("x")), "a")
+    return save(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
-    The sizes of linked sets differ by 100 / percent at most, which is less than a range is wide; so they lie in the same
-    range or in neighbouring ones, and each piece of a cluster holds a range and the one below.
+
+def least_overlap(percent: int) -> Column:
+    """Tokens that a set of n shares with a linked one at least."""
+    return F.expr(f"(n * {percent} + 99) div 100")
+
+
+def candidates(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """d1, n, tokens, signature of the sets that may have a link."""
+    first = first_tokens(docs, n, percent, bitmap(classes, "rep"))
+    alone = first.groupBy("token").agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other").groupBy("d1").agg(F.count("*").alias("alone"))
+    sizes = classes.select(F.col("rep").alias("doc_id"), "d1", F.col("n_shingles").alias("n")).dropDuplicates(["d1"])
+    left = save(sizes.join(alone, "d1", "left").where(F.coalesce("alone", F.lit(0)) <= F.col("n") - least_overlap(percent)).drop("alone"))
+    found = shingles(docs, n, percent, bitmap(left, "doc_id"))
+    return save(found.join(left, ["doc_id", "d1"]).dropDuplicates(["d1"]).select("d1", "n", "tokens", "signature"))
+
+
+def upper_nodes(found: DataFrame, percent: int) -> DataFrame:
+    """node, slice, slices, d1, n: the sets at the nodes of two sets or more; the nodes differ in their sets."""
+    tokens = found.select("d1", F.explode("tokens").alias("token"))
+    count = save(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = F.broadcast(count.where(F.col("c") * HOT > F.lit(int(found.agg(F.sum("n")).first()[0] or 0))))
+    shared = tokens.join(hot, "token").unionByName(tokens.join(hot, "token", "left_anti").join(count, "token"))
+    order = shared.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order")).join(found.select("d1", "n"), "d1")
+    order = order.withColumn("k", F.size("order") - least_overlap(percent) + 1).where("k > 0")
+    rows = order.select("d1", "n", F.explode(F.slice("order", F.lit(1), F.col("k").cast("int"))).alias("t"))
+    slices = F.ceil(F.col("t.c") / SLICE)
+    rows = save(rows.select(F.col("t.token").alias("node"), F.pmod(F.xxhash64("d1"), slices).alias("slice"), slices.alias("slices"), "d1", "n"))
+    same = rows.groupBy("node").agg(F.max("slices").alias("slices"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("h1"), F.bit_xor(F.xxhash64("d1", F.lit(2))).alias("h2"))
+    kept = same.where("m > 1").groupBy("m", "h1", "h2").agg(F.min_by(F.struct("node", "slices"), "node").alias("x")).select("x.*")
+    return save(rows.join(sliced(kept).drop("slices"), ["node", "slice"]))
+
+
+def sliced(per_node: DataFrame) -> DataFrame:
+    """A row for each slice of a node, so that the sets of a hot node are joined in many tasks."""
+    return per_node.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+
+
+def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with label, the component of d1 by the links so far."""
+    parts = components(edges).select(F.col("node").alias("d1"), F.col("component").alias("label"))
+    return rows.join(parts, "d1", "left").withColumn("label", F.coalesce("label", "d1"))
+
+
+def ranged(percent: int) -> Column:
+    """Number of the size range of n; the sizes of linked sets differ by less than a range is wide."""
+    return F.floor(F.log("n") / float(np.log(101 / percent)))
+
+
+def tied(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """a, b (d1): each set, and the set that stands for most of its nodes and size ranges, if they are not linked yet."""
+    rows = rows.withColumn("at", ranged(percent))
+    one = rows.groupBy("node", "at").agg(F.max("slices").alias("slices"), F.min_by(F.struct(F.col("d1").alias("b"), F.col("label").alias("other")), F.xxhash64("d1", F.lit(seed))).alias("x"))
+    pairs = rows.drop("slices").join(sliced(one.select("node", "at", "slices", "x.*")).drop("slices"), ["node", "at", "slice"]).where("label <> other")
+    pairs = pairs.groupBy(F.col("d1").alias("a"), "b").agg(F.count("*").alias("k"))
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+
+
+def mixed(rows: DataFrame, percent: int) -> DataFrame:
+    """rows of the nodes, cut into overlapping size ranges (at), that hold sets of several labels; m: sets of the piece.
+
+    Each set is in two pieces, its range and the one above: linked sets are of one range or of neighbouring ones, so they meet.
     """
-    at = F.floor(F.log("n") / float(np.log(101 / percent)))
-    return members.withColumn("at", F.explode(F.array(at, at + 1))).withColumn("cluster", F.xxhash64("cluster", "at")).drop("at")
+    rows = rows.withColumn("at", F.explode(F.array(ranged(percent), ranged(percent) + 1)))
+    piece = rows.groupBy("node", "at").agg(F.max("slices").alias("slices"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    return rows.drop("slices").join(sliced(piece).select("node", "at", "slice", "m"), ["node", "at", "slice"])
+
+
+def across(large: DataFrame) -> DataFrame:
+    """large in pairs of blocks g, h: all sets of a piece against those outside its largest label."""
+    count = large.groupBy("node", "at", "label").agg(F.count("*").alias("k"))
+    main = count.groupBy("node", "at").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.ceil((F.sum("k") - F.max("k")) / BLOCK).alias("rests"))
+    rows = large.join(main, ["node", "at"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("g", F.pmod(F.xxhash64("d1", F.lit(1)), "blocks"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    every = rows.withColumn("h", upto("rests"))
+    few = rows.where("label <> main").withColumn("h", F.pmod(F.xxhash64("d1", F.lit(3)), "rests")).withColumn("to", upto("blocks")).where("to <> g").withColumn("g", F.col("to"))
+    keep = ["node", "at", "g", "h", "d1", "n", "label", "signature"]
+    return every.select(keep).unionByName(few.select(keep))
+
+
+def trees(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """a, b (d1): pairs with unequal labels that the signature trees of the nodes leave, each once."""
+    apart = save(mixed(rows, percent).join(found.select("d1", "signature"), "d1"))
+    small = apart.where(F.col("m") <= BLOCK)
+    bins = int(small.agg(F.sum(F.length("signature") + 64)).first()[0] or 0) // BLOCK_SIGNED + 1
+    width = F.greatest(F.lit(0), F.ceil(F.log2(F.pow(F.lit(101 / percent), "at") * BITS_PER_TOKEN / 64)))  # of the smaller signatures of a piece
+    pairs = tree_pairs(small.withColumn("w", width).withColumn("g", F.pmod(F.xxhash64("node", "at"), F.lit(bins))), ["w", "g"], percent)
+    large = apart.where(F.col("m") > BLOCK)
+    if not large.isEmpty():
+        pairs = pairs.unionByName(tree_pairs(across(large), ["node", "at", "g", "h"], percent))
+    return pairs.distinct()
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -276,47 +344,15 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Two sets are linked when 100 * intersection >= percent * union.
     """
     rows = save(base(docs, n))
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    least = F.min("d1").over(Window.partitionBy("key"))
-    edges = nodes(docs, n, percent).select("d1", least.alias("least")).where("d1 <> least").distinct()
-    cluster = components(edges).select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
-    members = save(classes.join(cluster, "d1").select(F.col("rep").alias("doc_id"), "d1", "cluster", F.col("n_shingles").alias("n")))
-    parts = joined(docs, members, n, percent, False).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    members = save(members.drop("cluster").join(parts, "doc_id"))
-    whole = joined(docs, members, n, percent, True).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
-    ids = classes.join(whole, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    classes = save(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    found = candidates(docs, classes, n, percent)
+    nodes = upper_nodes(found, percent)
+    edges = verified(tied(nodes.withColumn("label", F.col("d1")), percent, 1), found, percent)
+    edges = edges.unionByName(verified(tied(labelled(nodes, edges), percent, 2), found, percent))
+    edges = edges.unionByName(verified(trees(labelled(nodes, edges), found, percent), found, percent))
+    linked = classes.join(components(edges).withColumnRenamed("node", "d1"), "d1")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(least, "component").select("d1", "d2", "n_shingles", "component_id")
+    ids = classes.join(linked, ["d1", "d2", "n_shingles"], "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.where("n_shingles > 0").join(ids, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def joined(docs: DataFrame, members: DataFrame, n: int, percent: int, exact: bool) -> DataFrame:
-    """node, component of the members (doc_id, d1, n, cluster) that links within their clusters join."""
-    found = shingles(docs, n, bitmap(members, "doc_id"), exact)
-    members = members if exact else by_size(members, percent)
-    apart = save(found.join(members, ["doc_id", "d1"]).dropDuplicates(["doc_id", "d1", "cluster"]))
-    blocks = members.groupBy("cluster").agg(weight("count(1)", "sum(n)", exact).alias("w")).withColumn("blocks", F.ceil("w"))
-    bins = int(blocks.where("blocks = 1").agg(F.sum("w")).first()[0] or 0) + 1
-    apart = apart.join(blocks.drop("w"), "cluster").withColumn("label", F.lit(None).cast("long"))
-    found = tree_links(apart.where("blocks = 1").withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(bins))), ["g"], percent, exact)
-    large = apart.where("blocks > 1")
-    if not large.isEmpty():
-        for seed in (1, 2):
-            found = found.unionByName(tree_links(large.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "blocks")), ["cluster", "g"], percent, exact))
-        found = save(found)
-        found = found.unionByName(save(across(large, found, percent, exact)))
-    return components(found)
-
-
-def across(large: DataFrame, found: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links between the parts that large clusters still have: all sets but those of a cluster's largest part, against all its sets."""
-    parts = components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    rows = save(large.drop("label").join(parts, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-    count = rows.groupBy("cluster", "label").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    main = count.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    rest = count.join(main, "cluster").where("label <> main").groupBy("cluster", "main").agg(F.ceil(weight("sum(k)", "sum(w)", exact)).alias("rests"))
-    rows = rows.join(rest, "cluster").withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks"))  # clusters of one part are done
-    every = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
-    few = rows.where("label <> main").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(3)), "rests"))
-    few = few.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("to <> g").withColumn("g", F.col("to"))
-    keep = ["cluster", "g", "h", "doc_id", "n", "tokens", "label"]
-    return tree_links(every.select(keep).unionByName(few.select(keep)), ["cluster", "g", "h"], percent, exact)
