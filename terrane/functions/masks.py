@@ -16,9 +16,10 @@ def pack(positions: DataFrame, group: list[str]) -> DataFrame:
     return rows.select(*group, "chunk", F.base64("bitmap").alias("mask"), F.sha2("bitmap", 256).alias("sha256"), F.bitmap_count("bitmap").alias("bits"))
 
 
-def unpack(mask: Column) -> Column:
-    """Array of the positions set in a base64 mask."""
+def unpack(mask: str) -> Column:
+    """Array of the positions set in a base64 mask (a column's name); NULL for NULL."""
     hexed = F.hex(F.unbase64(mask))
     byte = lambda k: F.conv(F.substring(hexed, k * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    bits = F.transform(F.sequence(F.lit(0), F.length(hexed) / 2 - 1).cast("array<int>"), lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when(F.getbit(byte(k), j) == 1, k * 8 + j)), lambda v: v.isNotNull()))
-    return F.flatten(bits)
+    last = (F.length(hexed) / 2 - 1).cast("int")
+    bits = F.transform(F.sequence(F.lit(0), last), lambda k: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when(F.getbit(byte(k), j) == 1, k * 8 + j)))
+    return F.array_compact(F.flatten(bits))

@@ -12,6 +12,8 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrane.functions.shared import save
+
 #: Cell sizes in metres of the levels of a grid family.
 LEVELS = (30, 60, 120, 240, 480, 960, 1920)
 
@@ -132,30 +134,42 @@ def sparse(features: DataFrame) -> DataFrame:
     return features.withColumn("amount", finite(F.col("amount"))).where(F.col("amount").isNotNull() & (F.col("amount") != 0))
 
 
-def range_buckets(df: DataFrame, key: str, buckets: int) -> Column:
-    """A bucket number that grows with key, from about even quantiles (at most buckets - 1 doubles reach the driver)."""
-    cuts = df.select(F.percentile_approx(F.col(key).cast("double"), [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    bucket = F.lit(0)
-    for cut in sorted(set(cuts)):
-        bucket = bucket + (F.col(key) > cut).cast("int")
-    return bucket
+def ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """df sorted by order into ranges, numbered by p, as a table of its own: ranges are as many as shuffle partitions, ties
+    in a key are split by what follows it, and the numbers stay the same however often the table is read."""
+    return save(df.repartitionByRange(*order).withColumn("p", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, key: str, descending: bool, tie: str, value: str, name: str, buckets: int = 64) -> DataFrame:
-    """Inclusive running sum over the whole table without one task for it: bucket sums give each bucket its start.
+def running_sum(df: DataFrame, key: str, descending: bool, tie: str, value: str, name: str) -> DataFrame:
+    """Inclusive running sum over the whole table without one task for it: the sums of the ranges give each its start.
 
-    Rows of one bucket are added in order of (key, tie); the bucket totals are one small row each. Rows without a key have
-    a bucket of their own, the last if descending, else the first.
+    Rows are added in order of (key, tie); rows without a key come last if descending, else first.
     """
-    b = range_buckets(df, key, buckets)
-    rows = df.withColumn("b", F.coalesce(-b, F.lit(1)) if descending else F.coalesce(b, F.lit(-1)))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("b").agg(F.sum(value).alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).select("b", "start")
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    inner = F.sum(value).over(Window.partitionBy("b").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("inner", inner).join(F.broadcast(starts), "b").withColumn(name, F.col("start") + F.col("inner")).drop("b", "start", "inner")
+    order = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first(), F.col(tie).asc()]
+    rows = ranged(df, order)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("p").agg(F.sum(value).alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).select("p", "start")
+    inner = F.sum(value).over(Window.partitionBy("p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("inner", inner).join(F.broadcast(starts), "p").withColumn(name, F.col("start") + F.col("inner")).drop("p", "start", "inner")
 
 
 def ranked(df: DataFrame, key: str, tie: str, name: str = "rank") -> DataFrame:
     """Rank from 1 by key descending, then tie, over the whole table."""
     return running_sum(df.withColumn("one", F.lit(1).cast("long")), key, True, tie, "one", name).drop("one")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Number from 0 in the given order over the whole table; one row a range is all that meets."""
+    rows = ranged(df, order)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("p").agg(F.count("*").alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).select("p", "start")
+    return rows.withColumn("inner", F.row_number().over(Window.partitionBy("p").orderBy(*order))).join(F.broadcast(starts), "p").withColumn(name, F.col("start") + F.col("inner") - 1).drop("p", "start", "inner")
+
+
+def ranks_within(df: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Rank from 1 within each group, also of groups that hold most rows: a group spans ranges, whose counts give each its start."""
+    rows = ranged(df, [F.col(group), *order])
+    before = Window.partitionBy(group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(group, "p").agg(F.count("*").alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
+    inner = F.row_number().over(Window.partitionBy(group, "p").orderBy(*order))
+    return rows.withColumn("inner", inner).join(starts, [group, "p"]).withColumn(name, F.col("start") + F.col("inner")).drop("p", "start", "inner")

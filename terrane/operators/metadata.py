@@ -69,7 +69,15 @@ def changed(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str
 
 
 #: States of a run and the states that may follow them.
-TRANSITIONS = {"pending": ("queued", "failed"), "queued": ("running", "failed"), "running": ("completed", "failed"), "completed": (), "failed": ()}
+TRANSITIONS = {
+    "queued": ("queued", "running", "failed", "cancelled"),
+    "running": ("running", "completed", "failed", "cancelled"),
+    "completed": ("completed",),
+    "failed": ("failed", "running", "cancelled"),
+    "cancelled": ("cancelled",),
+}
+#: States of an artifact.
+ARTIFACT_TRANSITIONS = {"pending": ("pending", "building", "failed"), "building": ("building", "ready", "failed"), "ready": ("ready",), "failed": ("failed", "building")}
 
 
 def bad_transitions(events: DataFrame, key: str, state: str, order: Sequence[str], allowed: dict[str, Sequence[str]] | None = None) -> DataFrame:

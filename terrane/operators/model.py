@@ -8,13 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.grid import ranked, running_sum
+from terrane.operators.grid import ranked, ranks_within, running_sum
+
+
+#: The largest k up to which every task keeps only the k best of its rows before the shuffle.
+SMALL = 1000
 
 
 def top_k_scale(values: DataFrame, k: int) -> DataFrame:
-    """layer, scale: the sum of a layer's k largest positive amounts."""
-    best = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("amount"), "unit"))
-    return values.where("amount > 0 AND NOT isnan(amount)").withColumn("k", best).where(F.col("k") <= k).groupBy("layer").agg(F.sum("amount").alias("scale"))
+    """layer, scale: the sum of a layer's k largest positive amounts, of any k."""
+    rows, order = values.where("amount > 0 AND NOT isnan(amount)"), [F.desc("amount"), F.asc("unit")]
+    if k <= SMALL:
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("layer").orderBy(*order)))
+    else:
+        rows = ranks_within(rows, "layer", order, "k")
+    return rows.where(F.col("k") <= k).groupBy("layer").agg(F.sum("amount").alias("scale"))
 
 
 def normalised(scales: DataFrame) -> DataFrame:

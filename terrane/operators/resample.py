@@ -58,6 +58,29 @@ def pyramid(cells: DataFrame, levels: int, statistic: str) -> DataFrame:
     return out
 
 
+#: What a coarse cell shows of each surface: whether any fine cell is chosen (255: none is valid), the most, the mean.
+SURFACES = {
+    "decision": lambda v: F.when(F.max(v == 1), 1).when(F.max(v != 255), 0).otherwise(255),
+    "allocation": F.max,
+    "priority": F.avg,
+}
+
+
+def overviews(cells: DataFrame, surface: str, largest: int, save) -> DataFrame:
+    """level, row, col, value: halved while either side has more than largest cells, each level from the one before, which
+    save(df) writes to shared storage. NaN is missing; cells are counted from 0."""
+    value = F.col("value") if surface == "decision" else F.when(~F.isnan("value"), F.col("value"))
+    now, out, level = cells.select("row", "col", value.alias("value")), None, 0
+    top = now.agg(F.greatest(F.max("row"), F.max("col"))).first()[0]
+    side = (0 if top is None else int(top)) + 1
+    while side > largest:
+        level, side = level + 1, (side + 1) // 2
+        now = save(now.groupBy(block("row", 2), block("col", 2)).agg(SURFACES[surface](F.col("value")).alias("value")))
+        rows = now.withColumn("level", F.lit(level))
+        out = rows if out is None else out.unionByName(rows)
+    return now.withColumn("level", F.lit(0)).limit(0) if out is None else out
+
+
 def pick_overview(factors: list[int], ratio: float) -> int:
     """The first factor that is large enough, else the coarsest."""
     return min((f for f in factors if f >= -(-ratio // 1)), default=max(factors))
