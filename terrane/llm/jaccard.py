@@ -12,7 +12,8 @@ Sets are tied to one set of a node each, tied pairs are verified on whole token
 closed to components. Nodes whose sets are all of one component are done. The others become signature trees, cut into
 size ranges: leaves hold a bitmap of their tokens, inner nodes the OR of their children with the ranges of size and of
 surplus (tokens less bits). A dual traversal leaves node pairs whose largest possible overlap is too small, or whose
-documents are all linked already. Pairs that come through are verified exactly, each once. So no link is lost.
+documents are all linked already. Of the nodes that two sets share only the one with the least token keeps their pair.
+Pairs that come through are verified exactly, each once. So no link is lost.
 
 Nodes of more than BLOCK sets are compared in blocks: the sets outside the largest component against all sets.
 
@@ -34,7 +35,7 @@ from terrane.llm.shared import among, bitmap, components, save
 from terrane.llm.text import BASES, Powers, U, lower_ascii, mix, passes, shingle_sets, utf8, word_hashes, words
 
 #: Sets in a block of a large node; bytes of signatures in a task over small nodes.
-BLOCK, BLOCK_SIGNED = 4096, 1 << 22
+BLOCK, BLOCK_SIGNED = 4096, 1 << 18
 #: Children of a node of the tree; words (64 bits) of a signature unless said; bits per token.
 FAN, WIDTH, BITS_PER_TOKEN = 8, 64, 4
 #: A key with more than one in HOT rows is joined by broadcast (of HOT rows at most), other keys by shuffle.
@@ -203,17 +204,42 @@ def folded(signatures: pa.Array) -> np.ndarray:
     return out
 
 
+def least_common(lists: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value that the lists a and b have in common, for pairs that have one."""
+    o, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+    size = np.diff(o)
+    out = np.zeros(len(a), np.int64)
+    for i, j in passes(np.concatenate([[0], np.cumsum(size[a] + size[b])]), PASS_TOKENS):
+        of = np.concatenate([a[i:j], b[i:j]])
+        row = np.repeat(np.tile(np.arange(j - i), 2), size[of])
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size[of]) - size[of], size[of]) + np.repeat(o[of], size[of])
+        value = values[at]
+        order = np.lexsort((value, row))
+        value, row = value[order], row[order]
+        both = np.flatnonzero((value[1:] == value[:-1]) & (row[1:] == row[:-1]))
+        rows, first = np.unique(row[both], return_index=True)
+        out[i + rows] = value[both[first]]
+    return out
+
+
 def tree_pairs(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
-    """a, b (d1): pairs that the signature tree of each group of rows (node, at, d1, n, label, signature) leaves."""
+    """a, b (d1): pairs that the signature tree of each group of rows (node, at, upper, d1, n, label, signature, nodes) leaves.
+
+    A pair is kept at the least of the nodes that both sets have, and in one size range: not where it is below for both.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids, size, label, node, at = (table.column(c).to_numpy() for c in ("d1", "n", "label", "node", "at"))
+        upper, lists = table.column("upper").to_numpy(zero_copy_only=False), table.column("nodes").combine_chunks()
         cluster = np.unique(mix(node.view(U) ^ mix(at.astype(U))), return_inverse=True)[1]
         order = np.lexsort((ids, size, label, cluster))
         sig = folded(pa.chunked_array(table.column("signature").chunks, pa.binary()).cast(pa.large_binary()).combine_chunks())
-        pairs = order[links(Tree(sig[order], size[order], cluster[order]), None, label[order], percent)]
-        a, b = np.minimum(ids[pairs[:, 0]], ids[pairs[:, 1]]), np.maximum(ids[pairs[:, 0]], ids[pairs[:, 1]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        i, j = order[links(Tree(sig[order], size[order], cluster[order]), None, label[order], percent)].T
+        keep = upper[i] | upper[j]
+        i, j = i[keep], j[keep]
+        keep = least_common(lists, i, j) == node[i]
+        i, j = i[keep], j[keep]
+        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j]), pa.int64()), "b": pa.array(np.maximum(ids[i], ids[j]), pa.int64())})
 
     return rows.groupBy(*group).applyInArrow(run, "a long, b long")
 
@@ -304,11 +330,12 @@ def tied(rows: DataFrame, percent: int, seed: int) -> DataFrame:
 
 
 def mixed(rows: DataFrame, percent: int) -> DataFrame:
-    """rows of the nodes, cut into overlapping size ranges (at), that hold sets of several labels; m: sets of the piece.
+    """rows of the nodes, cut into overlapping size ranges (at; upper: the set's own), that hold sets of several labels; m: sets of the piece.
 
     Each set is in two pieces, its range and the one above: linked sets are of one range or of neighbouring ones, so they meet.
     """
-    rows = rows.withColumn("at", F.explode(F.array(ranged(percent), ranged(percent) + 1)))
+    at = ranged(percent)
+    rows = rows.withColumn("x", F.explode(F.array(F.struct(at.alias("at"), F.lit(True).alias("upper")), F.struct((at + 1).alias("at"), F.lit(False).alias("upper"))))).select("*", "x.*").drop("x")
     piece = rows.groupBy("node", "at").agg(F.max("slices").alias("slices"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     return rows.drop("slices").join(sliced(piece).select("node", "at", "slice", "m"), ["node", "at", "slice"])
 
@@ -321,15 +348,16 @@ def across(large: DataFrame) -> DataFrame:
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     every = rows.withColumn("h", upto("rests"))
     few = rows.where("label <> main").withColumn("h", F.pmod(F.xxhash64("d1", F.lit(3)), "rests")).withColumn("to", upto("blocks")).where("to <> g").withColumn("g", F.col("to"))
-    keep = ["node", "at", "g", "h", "d1", "n", "label", "signature"]
+    keep = ["node", "at", "upper", "g", "h", "d1", "n", "label", "signature", "nodes"]
     return every.select(keep).unionByName(few.select(keep))
 
 
 def trees(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """a, b (d1): pairs with unequal labels that the signature trees of the nodes leave, each once."""
-    apart = save(mixed(rows, percent).join(found.select("d1", "signature"), "d1"))
+    own = rows.groupBy("d1").agg(F.collect_list("node").alias("nodes"))
+    apart = save(mixed(rows, percent).join(own, "d1").join(found.select("d1", "signature"), "d1"))
     small = apart.where(F.col("m") <= BLOCK)
-    bins = int(small.agg(F.sum(F.length("signature") + 64)).first()[0] or 0) // BLOCK_SIGNED + 1
+    bins = int(small.agg(F.sum(F.length("signature") + 8 * F.size("nodes") + 64)).first()[0] or 0) // BLOCK_SIGNED + 1
     width = F.greatest(F.lit(0), F.ceil(F.log2(F.pow(F.lit(101 / percent), "at") * BITS_PER_TOKEN / 64)))  # of the smaller signatures of a piece
     pairs = tree_pairs(small.withColumn("w", width).withColumn("g", F.pmod(F.xxhash64("node", "at"), F.lit(bins))), ["w", "g"], percent)
     large = apart.where(F.col("m") > BLOCK)
