@@ -5,9 +5,10 @@ distinct 5-word shingles; an item with fewer words has its word sequence as only
 that length. A document contains an item if it holds at least percent of the item's shingles.
 
 Items are partitioned by the size of their sets. Whoever holds that share of an item's n shingles lacks
-n * (100 - percent) / 100 of them at most, so the item's bottom MinHash values, one more than that for the largest size
-of the partition, cannot all be missing: a document that holds none of them is no candidate, whatever its length, and
-none is lost. Candidates are verified by counting all shingles that both have.
+n * (100 - percent) / 100 of them at most, so of the item's sketch, one MinHash value more than that for the largest
+size of the partition, one is held: a document that holds none is no candidate, whatever its length, and none is lost.
+The values are the least ones of an order that puts shingles of few items first. A first pass over the documents looks
+for sketches only; the second counts all shingles, but only of candidates: pairs of a document and an item.
 
 Documents without words, nulls, and items without words match nothing. Repeated rows count once per doc_id. Texts are
 read whole. Columns other than doc_id, item_id and text are ignored. An empty table gives an empty result.
@@ -67,36 +68,54 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, shingle long, words long").distinct()
 
 
-def held(docs: DataFrame, wanted: np.ndarray, lengths: list[int]) -> DataFrame:
-    """doc_id, shingle: the distinct shingles of a document, of the given lengths in words, that may be wanted."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted)
+def held(docs: DataFrame, wanted: np.ndarray, lengths: list[int], among_docs: np.ndarray | None = None) -> DataFrame:
+    """doc_id, shingle: the distinct shingles of a document, of the given lengths in words, that may be wanted.
+
+    among_docs: only documents whose hash may be in this bitmap.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast((wanted, among_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, many = Powers(BASES[0]), Powers(BASES[1])
+        wanted, among_docs = bits.value
         for batch in batches:
+            if among_docs is not None:
+                batch = batch.filter(pa.array(among(among_docs, batch.column("at").to_numpy(zero_copy_only=False))))
             for i, _, h, w in _hashes(batch, one):
                 for n in lengths:
                     first, g = windows(h, w, n, many)
-                    keep = among(bits.value, g.view(np.int64))
+                    keep = among(wanted, g.view(np.int64))
                     doc = np.searchsorted(w, first[keep], "right") - 1 + i
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(g[keep].view(np.int64))], ["doc_id", "shingle"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, shingle long").distinct()
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("at")).where("doc_id IS NOT NULL")
+    return docs.mapInArrow(run, f"doc_id {kind}, shingle long").distinct()
 
 
-def contained(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, n_item (shingles of the item), n_shared: each item that a document contains."""
-    shingles = save(item_shingles(items))
+def sketches(shingles: DataFrame, percent: int) -> DataFrame:
+    """item_id, n_item, shingle: the sketch of every item."""
     size = shingles.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    items = shingles.groupBy("shingle").agg(F.count("*").alias("items"))
     top = F.lit(None).cast("long")
     for low, high in zip(SIZES[::-1][1:], SIZES[::-1], strict=False):
         top = F.when(F.col("n_item").between(low, high - 1), F.lit(high - 1)).otherwise(top)
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64("shingle"), "shingle"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", F.xxhash64("shingle"), "shingle"))
     least = F.least(F.floor(top * (100 - percent) / 100) + 1, F.col("n_item"))
-    sketch = save(shingles.join(size, "item_id").withColumn("rank", rank).where(F.col("rank") <= least).select("item_id", "n_item", "shingle"))
+    return shingles.join(size, "item_id").join(items, "shingle").withColumn("rank", rank).where(F.col("rank") <= least).select("item_id", "n_item", "shingle")
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, item_id, n_item: the pairs where the document holds a value of the item's sketch."""
+    return held(docs, bitmap(sketch, "shingle"), lengths).join(sketch, "shingle").select("doc_id", "item_id", "n_item").distinct()
+
+
+def contained(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, item_id, n_item (shingles of the item), n_shared: each item that a document contains."""
+    shingles = save(item_shingles(items))
     lengths = sorted(r.words for r in shingles.select("words").distinct().collect())
-    rows = save(held(docs, bitmap(shingles, "shingle"), lengths))
-    found = rows.join(sketch, "shingle").select("doc_id", "item_id", "n_item").distinct()
-    both = rows.join(shingles, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    return found.join(both, ["doc_id", "item_id"]).where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select("doc_id", "item_id", "n_item", "n_shared")
+    found = save(candidates(docs, save(sketches(shingles, percent)), lengths))
+    pairs = found.join(shingles.select("item_id", "shingle"), "item_id")
+    rows = held(docs, bitmap(shingles, "shingle"), lengths, bitmap(found.select(F.xxhash64("doc_id").alias("at")), "at"))
+    both = pairs.join(rows, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    return both.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)

@@ -113,6 +113,13 @@ f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, leng
 b AS (SELECT page_id, arg_max(h, length(h)) || '/' AS listed_as FROM p JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/') GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed_as IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN listed_as END AS listed_as
 FROM p LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)""",
+    "op7_benchmark_decontamination": """
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 5) AS l FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark) WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, l, array_to_string(w[p:p+l-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS p FROM b)),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+d AS (SELECT DISTINCT doc_id, l, array_to_string(w[p:p+l-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS p FROM t CROSS JOIN (SELECT DISTINCT l FROM b) WHERE len(w) >= l))
+SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM s JOIN d USING (g, l) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80""",
     "op10_substring_dedup": """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 48, 1))) AS i, w FROM w),
