@@ -11,8 +11,11 @@ windows that hold a hit are compared by two 64-bit hashes, the smallest doc_id o
 windows are the maximal exact repeats. Whole copies of a document are found by its word sequence and only the smallest
 doc_id of them takes part. Nothing pairs the members of a group with each other; common passages only add up.
 
-Nulls and texts without words have no words and nothing to remove. Rows of one doc_id are one document. Texts are read
-whole. Columns other than doc_id and text are ignored. An empty table gives an empty result.
+A window that many documents share has more than one in HOT of all places: these few windows are broadcast, so that no
+task gets all places of one.
+
+Nulls and texts without words have no words and nothing to remove. Rows of one doc_id never remove each other's words;
+with different texts each is judged by its own windows, with equal texts they get the same result. Texts are read whole. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from terrane.llm.shared import among, bitmap, save
 from terrane.llm.text import BASES, Powers, U, passes, utf8, windows, word_hashes, words
 
 WINDOW, BLOCK, GRAM = 50, 25, 8
+HOT = 1 << 14
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -60,6 +64,11 @@ def _joined(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray,
     return [out[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
+def _tags(s1: np.ndarray) -> np.ndarray:
+    """What tells the texts of one doc_id apart, as the high half of a place."""
+    return (s1 >> U(33)).astype(np.int64) << 32
+
+
 def _base(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, two hashes of the word sequence, sha256 of all words."""
 
@@ -120,7 +129,7 @@ def _anchors(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """w1, w2, doc_id, at: the windows of rows (doc_id, text, spans) that hold a hit."""
+    """w1, w2, doc_id, at (place and tag): the windows of rows (doc_id, text, spans) that hold a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, p, q = Powers(BASES[0]), Powers(BASES[0]), Powers(BASES[1])
@@ -132,7 +141,8 @@ def _windows(rows: DataFrame) -> DataFrame:
                 h = word_hashes(d, starts, ends, one)
                 mark = np.zeros(len(h) + 2, np.int64)
                 own = np.repeat(np.arange(j - i), np.diff(o[i : j + 1]))
-                a, b = lo[o[i] : o[j]] + w[own], hi[o[i] : o[j]] + w[own]
+                # spans are of all texts of a doc_id, so that some may end beyond this one
+                a, b = np.minimum(lo[o[i] : o[j]] + w[own], w[own + 1]), np.minimum(hi[o[i] : o[j]] + w[own], w[own + 1])
                 np.add.at(mark, np.maximum(a - (WINDOW - BLOCK), w[own]), 1)
                 np.add.at(mark, b + 1, -1)
                 first, w1 = windows(h, w, WINDOW, p)
@@ -140,21 +150,26 @@ def _windows(rows: DataFrame) -> DataFrame:
                 w2 = windows(h, w, WINDOW, q)[1]
                 first = first[keep]
                 doc = np.searchsorted(w, first, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(w1[keep].view(np.int64)), pa.array(w2[keep].view(np.int64)), ids.take(pa.array(doc + i)), pa.array((first - w[doc]).astype(np.int32))], ["w1", "w2", "doc_id", "at"])
+                tag = _tags(p.slices(p.sums(h), w[:-1], w[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(w1[keep].view(np.int64)), pa.array(w2[keep].view(np.int64)), ids.take(pa.array(doc + i)), pa.array(first - w[doc] + tag[doc])], ["w1", "w2", "doc_id", "at"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, at int")
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, at long")
 
 
 def _removed(rows: DataFrame) -> DataFrame:
-    """doc_id, n_removed, sha, kept (text), spans of words removed, of rows (doc_id, text, starts)."""
+    """doc_id, s1 (hash of the word sequence), n_removed, sha, kept (text), spans of words removed, of rows (doc_id, text, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, p = Powers(BASES[0]), Powers(BASES[0])
         for batch in batches:
             starts_of = batch.column("starts")
             o, at = starts_of.offsets.to_numpy(), starts_of.values.to_numpy()
             for i, j, d, starts, ends, w in _words(batch):
                 own = np.repeat(np.arange(j - i), np.diff(o[i : j + 1]))
-                s = at[o[i] : o[j]] + w[own]
+                s1 = p.slices(p.sums(word_hashes(d, starts, ends, one)), w[:-1], w[1:])
+                s, tag = at[o[i] : o[j]] & 0xFFFFFFFF, at[o[i] : o[j]] >> 32 << 32
+                mine = tag == _tags(s1)[own]
+                s = s[mine] + w[own[mine]]
                 mark = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(mark, s, 1)
                 np.add.at(mark, s + WINDOW, -1)
@@ -165,15 +180,16 @@ def _removed(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
+                        pa.array(s1.view(np.int64)),
                         pa.array(total[w[1:]] - total[w[:-1]], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
                         pa.array([x.decode() for x in kept], pa.string()),
                         pa.array(edges, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_removed", "sha", "kept", "repeats"],
+                    ["doc_id", "s1", "n_removed", "sha", "kept", "repeats"],
                 )
 
-    return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_removed long, sha string, kept string, repeats array<long>")
+    return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, s1 long, n_removed long, sha string, kept string, repeats array<long>")
 
 
 def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -184,11 +200,11 @@ def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(among(bits.value, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))))
 
-    return docs.mapInArrow(run, docs.schema).join(rows, "doc_id").dropDuplicates(["doc_id"])
+    return docs.mapInArrow(run, docs.schema).join(rows, "doc_id").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The base rows of all documents with ``copy`` (a whole copy of a smaller doc_id), and doc_id, n_removed, sha, kept,
+    """The base rows of all documents with ``copy`` (a whole copy of a smaller doc_id), and doc_id, s1, n_removed, sha, kept,
     repeats (places of the first word and after the last of each maximal repeat, in turn) of the others that lose words."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     base = save(_base(docs))
@@ -199,18 +215,24 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = save(_anchors(docs).groupBy("anchor").agg(F.min(block).alias("least"), F.max(probe).alias("last")).where("least < last"))
     hits = _anchors(docs, bitmap(shared, "anchor")).join(shared, "anchor").where("(block AND doc_id < last) OR (NOT block AND doc_id > least)")
     spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = save(spans.join(base.where("copy").select("doc_id"), "doc_id", "left_anti"))
+    copies = base.groupBy("doc_id").agg(F.min("copy").alias("copy")).where("copy").select("doc_id")
+    spans = save(spans.join(copies, "doc_id", "left_anti"))
     texts = save(_chosen(docs, spans))
     places = _windows(texts)  # made twice from the saved texts: cheaper than a table of them
-    least = places.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last")
-    starts = places.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    least = places.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("c")).where("least < last").drop("last")
+    least = save(least)
+    total = int(least.agg(F.sum("c")).first()[0] or 0)
+    hot = least.where(F.col("c") * HOT > total).select("w1", "w2", F.col("least").alias("hot"))  # HOT rows at most
+    places = places.join(F.broadcast(hot), ["w1", "w2"], "left").withColumn("w1", F.when(F.col("hot").isNull(), F.col("w1")).otherwise(F.xxhash64("doc_id", "at")))
+    cold = least.where(F.col("c") * HOT <= total).drop("c")
+    starts = places.join(cold, ["w1", "w2"], "left").where(F.col("doc_id") > F.coalesce("hot", "least")).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     return base, _removed(texts.drop("spans").join(starts, "doc_id"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     base, removed = repeats(docs)
-    removed = removed.select("doc_id", "n_removed", F.col("sha").alias("left"))
+    removed = removed.select("doc_id", "s1", "n_removed", F.col("sha").alias("left"))
     sha = F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.coalesce("left", "sha")).alias("kept_sha256")
     n = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed")
-    return base.join(removed, "doc_id", "left").select("doc_id", "n_words", n, sha)
+    return base.join(removed, ["doc_id", "s1"], "left").select("doc_id", "n_words", n, sha)
