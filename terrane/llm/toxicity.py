@@ -1,7 +1,7 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-Words are runs of letters and digits in lower case. The input of a word is its embedding, by hash, beside the mean
-embedding of its bytes. The network reads windows of WINDOW words that overlap by half; every window of every text is
+Words are runs of letters and digits in lower case. The input of a word is the sum of the embeddings, by hash, of itself
+and of its first and last characters in order (PIECES), beside the mean embedding of its bytes. The network reads windows of WINDOW words that overlap by half; every window of every text is
 scored and the highest counts. That logit becomes a score between 0 and 1 by a logistic curve fitted on whole documents
 that the network was not trained on.
 
@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 
 from terrane.llm.decontam import alnum_words
 from terrane.llm.shared import save
-from terrane.llm.text import BASES, Powers, U, passes, utf8, word_hashes
+from terrane.llm.text import BASES, Powers, U, mix, passes, utf8, word_hashes
 
 WINDOW, STEP = 32, 16
-BUCKETS, EMBED, CHARS, HIDDEN, ATTEND = 1 << 14, 8, 8, 8, 8
+BUCKETS, EMBED, CHARS, HIDDEN, ATTEND = 1 << 15, 8, 8, 8, 8
+#: Bytes of a word's pieces, from its start or (negative) from its end; a shorter word is a piece of its own.
+PIECES = (3, 4, 5, 6, -3, -4)
 #: Labelled documents of each class to train on; labelled documents to fit the curve on.
 SAMPLE, CALIBRATION = 3000, 3000
 ROUNDS, EPOCHS, BATCH, RATE, SEED = 3, 3, 128, 0.01, 7
@@ -59,6 +61,15 @@ def texts(batch: pa.RecordBatch, powers: Powers) -> Iterator[tuple]:
         yield i, d, starts, ends, w, word_hashes(d, starts, ends, powers)
 
 
+def buckets(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, powers: Powers) -> np.ndarray:
+    """Buckets of each word and of its pieces (words x pieces and one)."""
+    sums, out = powers.sums(d.astype(U) + U(1)), [hashes]
+    for n in PIECES:
+        a, b = (starts, np.minimum(ends, starts + n)) if n > 0 else (np.maximum(starts, ends + n), ends)
+        out.append(mix(powers.slices(sums, a, b) + U(n % 64)))
+    return (np.stack(out, 1) % U(BUCKETS)).astype(np.int64)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -81,7 +92,7 @@ class Network:
     def __init__(self, seed: int = SEED):
         r = np.random.default_rng(seed)
         self.p = {
-            "E": np.zeros((BUCKETS, EMBED)),  # words too rare to learn stay at nought; their bytes speak for them
+            "E": np.zeros((BUCKETS, EMBED)),  # words too rare to learn stay at nought; their pieces and bytes speak for them
             "C": r.normal(0, 0.3, (256, CHARS)),
             "W": r.normal(0, 0.3, (2, EMBED + CHARS, 3 * HIDDEN)),
             "U": r.normal(0, 0.3, (2, HIDDEN, 3 * HIDDEN)),
@@ -120,13 +131,15 @@ class Network:
         return pooled @ p["o"] + p["c"][0], (s, g, e, pooled)
 
     def inputs(self, bucket: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        x = np.concatenate([self.p["E"][bucket], chars], 1)
+        x = np.concatenate([self.p["E"][bucket].sum(1), chars], 1)
         return x @ self.p["W"] + self.p["b"][:, None]
 
     def gradients(self, bucket: np.ndarray, bytes_: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
-        """Gradients of the mean log loss by back-propagation through time. bytes_: shares of the bytes in each distinct word."""
+        """Gradients of the mean log loss by back-propagation through time. bucket: those of each distinct word,
+        bytes_: shares of the bytes in it."""
         p, steps, n, keep = self.p, *index.shape, []
-        raw = np.concatenate([p["E"][bucket], bytes_ @ p["C"]], 1)
+        bucket = bucket.reshape(len(bucket), -1)
+        raw = np.concatenate([p["E"][bucket].sum(1), bytes_ @ p["C"]], 1)
         x = raw @ p["W"] + p["b"][:, None]
         logit, (s, g, e, pooled) = self.run(x, index, mask, keep)
         q = sigmoid(logit)
@@ -158,7 +171,7 @@ class Network:
         d_raw = (d_x @ p["W"].transpose(0, 2, 1)).sum(0)
         out["C"] = bytes_.T @ d_raw[:, EMBED:]
         out["E"] = np.zeros_like(p["E"])
-        np.add.at(out["E"], bucket, d_raw[:, :EMBED])
+        np.add.at(out["E"], bucket, d_raw[:, None, :EMBED])
         return out, float(-np.mean(np.log(np.where(y > 0, q, 1 - q) + 1e-9)))
 
     def train(self, windows: list[str], y: np.ndarray) -> None:
@@ -168,14 +181,16 @@ class Network:
         d = np.frombuffer("".join(distinct).encode(), np.uint8)
         ends = np.cumsum([len(x.encode()) for x in distinct]).astype(np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        bucket = np.concatenate([[0], (word_hashes(d, starts, ends, Powers(BASES[0])) % U(BUCKETS)).astype(np.int64)])
+        powers = Powers(BASES[0])
+        bucket = buckets(d, starts, ends, word_hashes(d, starts, ends, powers), powers)
+        bucket = np.concatenate([np.zeros((1, bucket.shape[1]), np.int64), bucket])
         shares = np.zeros((len(distinct) + 1, 256), np.float32)
         own = np.repeat(np.arange(len(distinct)) + 1, ends - starts)
         np.add.at(shares, (own, d), 1 / (ends - starts)[own - 1])
         index = np.zeros((WINDOW, len(words)), np.int64)
         for k, w in enumerate(words):
             index[: len(w), k] = [place[x] for x in w]
-        known = np.bincount(bucket[np.unique(index * len(words) + np.arange(len(words))) // len(words)], minlength=BUCKETS) >= COMMON
+        known = np.bincount(bucket[np.unique(index * len(words) + np.arange(len(words))) // len(words)].reshape(-1), minlength=BUCKETS) >= COMMON
         mask, r, m, v, step = index > 0, np.random.default_rng(SEED), {}, {}, 0
         for _ in range(EPOCHS):
             order = r.permutation(len(words))
@@ -192,11 +207,11 @@ class Network:
                     rate = RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                     self.p[name] = (self.p[name] - rate * m[name] / (np.sqrt(v[name]) + 1e-6)).astype(np.float32)
 
-    def logits(self, d: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def logits(self, d: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray, hashes: np.ndarray, powers: Powers) -> np.ndarray:
         """The logit of each window."""
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         chars = means(d, starts[first], ends[first], self.p["C"])
-        x = self.inputs((hashes[first] % U(BUCKETS)).astype(np.int64), chars)
+        x = self.inputs(buckets(d, starts[first], ends[first], hashes[first], powers), chars)
         x = np.concatenate([x, np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
         inverse = np.append(inverse, len(first))
         at, docs = spans(w)
@@ -229,15 +244,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _signs(rows: DataFrame) -> np.ndarray:
-    """Log odds of each word bucket between toxic and clean documents of the sample; BUCKETS rows reach the driver."""
+    """Log odds of each bucket between toxic and clean documents of the sample; BUCKETS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASES[0])
         for batch in batches:
             y = batch.column("y").to_numpy()
-            for i, _, _, _, w, h in texts(batch, powers):
+            for i, d, starts, ends, w, h in texts(batch, powers):
                 doc = np.repeat(np.arange(len(w) - 1), np.diff(w))
-                key = np.unique(doc * BUCKETS + (h % U(BUCKETS)).astype(np.int64))
+                key = np.unique(doc[:, None] * BUCKETS + buckets(d, starts, ends, h, powers))
                 yield pa.RecordBatch.from_arrays([pa.array(key % BUCKETS), pa.array(y[key // BUCKETS + i].astype(np.int64))], ["k", "y"])
 
     odds, total = np.zeros((2, BUCKETS)), rows.groupBy("y").count().collect()
@@ -262,9 +277,9 @@ def _windows(rows: DataFrame, odds: np.ndarray, model: Network | None = None) ->
                     continue
                 at, docs = spans(w)
                 if weights:
-                    best = own.logits(d, starts, ends, w, h)
+                    best = own.logits(d, starts, ends, w, h, powers)
                 else:
-                    value, place = np.append(odds[(h % U(BUCKETS)).astype(np.int64)], -99), at[:, None] + np.arange(WINDOW)
+                    value, place = np.append(odds[buckets(d, starts, ends, h, powers)].max(1), -99), at[:, None] + np.arange(WINDOW)
                     best = np.where(place < np.repeat(w[1:], np.diff(docs))[:, None], value[np.minimum(place, len(h))], -99).max(1)
                 out, kind = [], []
                 for k in range(len(w) - 1):
@@ -291,7 +306,7 @@ def _with_logits(docs: DataFrame, model: Network, name: str, finish) -> DataFram
         own, powers = Network(), Powers(BASES[0])
         own.p, own.curve = shared.value
         for batch in batches:
-            got = [own.highest(d, starts, ends, w, h) for _, d, starts, ends, w, h in texts(batch, powers)]
+            got = [own.highest(d, starts, ends, w, h, powers) for _, d, starts, ends, w, h in texts(batch, powers)]
             value = finish(own, np.concatenate(got) if got else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], [*batch.schema.names, name])
 
@@ -328,5 +343,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None) -> N
 
 
 def score(docs: DataFrame, model: Network, name: str = "score") -> DataFrame:
-    """docs with the score of every text in a column of the given name."""
+    """docs with the score of every text in a column of the given name, which takes the place of a column of that name."""
+    docs = docs.select(*(c for c in docs.columns if c.lower() != name.lower()))
     return _with_logits(docs, model, name, lambda own, x: own.score(x))
