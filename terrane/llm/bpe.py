@@ -5,7 +5,7 @@ every such place in a word is a certain cut. Words fall into short fragments the
 once on its own and the ids are concatenated. The last fragment of a word carries the word end.
 
 Nulls and empty texts have no ids and decode to the empty text. Repeated rows are encoded each. Texts of any length
-are read whole. Columns other than doc_id and text are ignored.
+are read whole. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

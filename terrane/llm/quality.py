@@ -5,7 +5,7 @@ policy is a mask of bits (and its version), so applying a policy, changing it, o
 only bitwise work on the ledger and never the text again.
 
 Nulls and empty texts have zero words and fail ``few_words``. Repeated rows each get a ledger row. Texts of any
-length are read whole. Other columns of the input are ignored.
+length are read whole. Other columns of the input are ignored. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 POLICIES = {
     "base": ("few_words", "repeats"),
     "v1": ("few_words", "repeats", "symbols", "word_length", "dup_lines", "shouting", "digits", "poor_vocabulary"),
+    "v2": ("few_words", "repeats", "symbols", "word_length", "shouting", "digits"),  # poetry and tables may repeat lines and words
 }
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 

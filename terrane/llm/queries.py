@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import bpe, decontam, html, jaccard, lines, quality, substrings, tokens, toxicity, urls
+from terrane.llm.shared import save
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +38,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (verdict, rule): what stands below a host, its subdomains and a path.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Listed URLs to block, where no rule decides.
-LISTED = tuple(f"http://{name}.example.{end}/" for name in ("ads-track", "adult-x") for end in ("com", "net", "org"))
+#: Sites of advertising, adult content, gambling, pills and spam to block, where no rule decides: below their hosts, and the hosts without a path.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOSTS = tuple(f"{name}.example.{end}" for name in LISTED_NAMES for end in ("com", "net", "org"))
+#: Pages that anyone reached with tracking parameters are listed too, by their canonical URL; not whole folders or hosts.
+TRACKED = r"[?&]utm_"
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every policy and rule: documents that fail the rule, fail it alone, and pass without it. From the ledger, without the texts."""
+    rows = save(quality.ledger(table(spark, sf_dir, "documents")).select("failed"))
+    parts = [quality.ablations(rows, policy).withColumn("policy", F.lit(policy)) for policy in quality.POLICIES]
+    return reduce(DataFrame.unionByName, parts).select("policy", "rule", "n_failed", "n_failed_alone", "n_kept_without")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("url"))
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+    pages = table(spark, sf_dir, "pages")
+    hosts = spark.range(1).select(F.explode(F.array(*(F.lit(f"http://{h}{end}") for h in LISTED_HOSTS for end in ("", "/")))).alias("url"))
+    path = urls.path(F.col("url"))
+    tracked = pages.select("url").where(F.rlike("url", F.lit(TRACKED)) & path.startswith("/") & ~path.endswith("/"))
+    return urls.judge(pages, URL_RULES, hosts.unionByName(tracked))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +96,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_toxicity,
         op10_substring_dedup,
+        quality_ablations,
     )
 }
 _HOST = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"
 _PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 _RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
-_LISTED = ", ".join(f"('{u.removeprefix('http://').rstrip('/')}')" for u in LISTED)
+_LISTED = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
 ORACLE: dict[str, str] = {
     "op4_quality_rules": """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -109,8 +125,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
     "op5_url_filters": f"""
 WITH p AS (SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PATH} AS path FROM pages),
 r AS (SELECT * FROM (VALUES {_RULES}) AS r(verdict, rule, h, b)), l AS (SELECT * FROM (VALUES {_LISTED}) AS l(h)),
+t AS (SELECT DISTINCT host AS th, path AS tp FROM p JOIN pages USING (page_id) WHERE regexp_matches(url, '{TRACKED}') AND starts_with(path, '/') AND NOT ends_with(path, '/')),
 f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) GROUP BY page_id),
-b AS (SELECT page_id, arg_max(h, length(h)) || '/' AS listed_as FROM p JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/') GROUP BY page_id)
+k AS (SELECT page_id, h || CASE WHEN path = '' THEN '' ELSE '/' END AS key FROM p JOIN l ON (host = h OR ends_with(host, '.' || h)) AND (path = '' OR starts_with(path, '/'))
+  UNION ALL SELECT page_id, th || tp FROM p JOIN t ON path = tp AND (host = th OR ends_with(host, '.' || th))),
+b AS (SELECT page_id, arg_max(key, (length(key), key)) AS listed_as FROM k GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed_as IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN listed_as END AS listed_as
 FROM p LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)""",
     "op7_benchmark_decontamination": """
@@ -131,3 +150,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
   sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN r USING (doc_id)""",
 }
+_POLICIES = ", ".join(f"('{policy}', {quality.mask(policy)}, '{rule}', {quality.BIT[rule]})" for policy, rules in quality.POLICIES.items() for rule in rules)
+ORACLE["quality_ablations"] = f"""
+WITH ledger AS ({ORACLE["op4_quality_rules"]}), r AS (SELECT * FROM (VALUES {_POLICIES}) AS r(policy, mask, rule, bit))
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_failed_alone, count(*) FILTER (failed & mask & ~bit = 0) AS n_kept_without FROM ledger, r GROUP BY policy, rule"""

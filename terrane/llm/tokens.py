@@ -4,7 +4,7 @@ Texts are cut into pre-tokens; the distinct ones that a task has not counted yet
 symbols. In each round every sequence looks up the ranks of its adjacent pairs, and all occurrences of each sequence's
 own lowest-ranked pair are merged at once; sequences with no pair left are done, and their surviving symbols are the
 count. Nulls and empty texts count 0. Repeated rows are counted each. Texts of any length are read whole. Columns other
-than doc_id and text are ignored.
+than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

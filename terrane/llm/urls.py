@@ -7,7 +7,9 @@ block. It is broadcast, as its size is fixed whatever the length of the list; wh
 which removes false positives. The longest rule that fits decides before the list.
 
 Null URLs and those without ``://`` have an empty host and path, fit no rule and are on no list. Repeated rows are
-judged each. Columns of the input other than the URL don't take part. Only DataFrame functions are used.
+judged each. Columns of the input other than the URL don't take part. A URL is looked up as a whole, however long: by as many
+keys as it has host labels times path segments, so a row's work grows with that product. An empty table gives an empty
+result. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ from pyspark.sql import functions as F
 #: Blocks of the Bloom filter: 65,536 x 40 bytes, 2.6 MB at most.
 BLOCKS = 1 << 16
 PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Longest host suffix and path prefix looked up, in labels and segments: hosts have at most 127 labels.
-LABELS, PARTS = 127, 127
 
 
 def host(url: Column) -> Column:
