@@ -115,7 +115,7 @@ def max_zoom(resolution: Column) -> Column:
     """Zoom level of a cell size in metres: 13 at 30 m and below, 7 at 5,000 m and above, by the logarithm between; half to even."""
     r = F.least(F.greatest(resolution.cast("double"), F.lit(30.0)), F.lit(5000.0))
     share = (F.log(r) - F.log(F.lit(30.0))) / (F.log(F.lit(5000.0)) - F.log(F.lit(30.0)))
-    return F.rint(13 - share * 6).cast("int")
+    return F.when(resolution.isNotNull(), F.rint(13 - share * 6).cast("int"))
 
 
 def tile_xy(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:

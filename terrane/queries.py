@@ -308,9 +308,9 @@ def profile_tasks_join(spark, d):
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(counts, "c_custkey", "left").select("c_custkey", "n_name", "r_name", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 20 = 0)")
 def anti_insert(spark, d):
-    return metadata.insert_missing(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), read(spark, d, "customer").select("c_custkey"), ["c_custkey"])
+    return metadata.insert_missing(read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("c_custkey")), read(spark, d, "customer").select("c_custkey"), ["c_custkey"])
 
 
 @query("SELECT doc_id, source FROM documents WHERE source ILIKE '%C1%' OR coalesce(lang, '') ILIKE '%C1%' ORDER BY doc_id DESC LIMIT 25 OFFSET 25")

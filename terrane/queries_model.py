@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from terrane.functions import geo, masks, scalars
 from terrane.functions.shared import save
 from terrane.operators import compiler, graph, grid, metadata, resample, states, validation
-from terrane.queries import _NZ, CELLS, EDGES, LAYERS, PROBLEM, SCALES, cells, nonzeros, problem, query, read, values
+from terrane.operators import model as objectives
+from terrane.queries import _NZ, CELLS, EDGES, ORACLE, SCALES, cells, nonzeros, problem, query, read, values
 from terrane.queries import states as unit_states
+from terrane.sources import tables
+from terrane.streaming import changes
 
 R4 = lambda c: F.round(c, 4).alias(c)
 
@@ -114,6 +117,9 @@ def presolve_protected(spark, d):
     return graph.reduce_fixpoint(o.select("unit", "objective", "state"), graph.rook_edges(o), 0.5, save, kept)[0].select("unit", "state")
 
 
+ORACLE["presolve_fixpoint"] = f"WITH RECURSIVE {EDGES}, {OBJECTIVE}, {NEAR}, {ROUNDS.format(strength=0.25, spared='')} SELECT unit, arg_max(state, round) AS state FROM r GROUP BY 1"
+
+
 @query(
     f"WITH RECURSIVE {MODEL}, {NEAR}, {ROUNDS.format(strength=0.25, spared='')}, z AS (SELECT unit, arg_max(state, round) AS state FROM r GROUP BY 1), c AS (SELECT states.state AS was, z.state AS state FROM states JOIN z USING (unit)) "
     "SELECT count(*) AS units, count(*) FILTER (state = 1) AS fixed_in, count(*) FILTER (state = 0) AS fixed_out, count(*) FILTER (was = -1 AND state = 0) AS derived_out, count(*) FILTER (state = -1) AS left, "
@@ -162,9 +168,7 @@ def solution_validation(spark, d):
 
 @query(f"WITH {SCALES}, x AS (SELECT p_partkey AS unit, (p_size % 5) / 4.0::DOUBLE AS x FROM part), r AS (SELECT layer, sum(amount * x) AS raw FROM vals JOIN x USING (unit) GROUP BY 1) SELECT layer, round(coalesce(raw, 0), 2) AS raw, round(coefficient * coalesce(raw, 0), 6) AS contribution FROM n LEFT JOIN r USING (layer)")
 def objective_decomposition(spark, d):
-    from terrane.operators import model as m
-
-    coefficients = m.normalised(F.broadcast(problem(spark)).join(m.top_k_scale(values(spark, d), 20), "layer", "left"))
+    coefficients = objectives.normalised(F.broadcast(problem(spark)).join(objectives.top_k_scale(values(spark, d), 20), "layer", "left"))
     x = cells(spark, d).select("unit", ((F.col("p_size") % 5) / F.lit(4.0)).alias("x"))
     return validation.decomposed(values(spark, d), coefficients, x).select("layer", F.round("raw", 2).alias("raw"), F.round("contribution", 6).alias("contribution"))
 
@@ -566,3 +570,33 @@ def pyramid_decision(spark, d):
     v = F.when(F.col("o_custkey") % 5 == 0, 255).when(F.col("o_custkey") % 7 == 0, 1).otherwise(0)
     rows = read(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("row"), (F.col("o_orderkey") % 100).alias("col"), v.alias("value"))
     return resample.overviews(rows, "decision", 8, save)
+
+
+# --- change events ---------------------------------------------------------------------------------------------------
+@query("SELECT event_id FROM (SELECT *, lag(event_type) OVER w AS t, lag(round(value)) OVER w AS v, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR t IS DISTINCT FROM event_type OR v IS DISTINCT FROM round(value)")
+def changed_events(spark, d):
+    rows = read(spark, d, "events").withColumn("value", F.round("value"))
+    return changes.changed_only(rows, "user_id", ["event_type", "value"], ["ts", "event_id"]).select("event_id")
+
+
+@query("SELECT ['task', 'scope', 'ignored', 'invalid', 'invalid'][event_id % 5 + 1] AS kind, count(*) AS n FROM events GROUP BY 1")
+def event_dispatch(spark, d):
+    k, n = F.col("event_id"), F.col("event_id").cast("string")
+    text = lambda **x: F.to_json(F.struct(*(F.lit(v).alias(c) if isinstance(v, str) else v.alias(c) for c, v in x.items())))
+    message = F.when(k % 5 == 0, text(type="task.updated", task_id=n, status="running")).when(k % 5 == 1, text(type="profile_scope.updated", profile_id=n))
+    message = message.when(k % 5 == 2, text(type="task_run.updated")).when(k % 5 == 3, text(type="task.updated", task_id=n)).otherwise("{no json")
+    return changes.dispatched(read(spark, d, "events").select(message.alias("message")), "message").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey AS profile_id, o_orderkey::VARCHAR AS task_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 = 0")
+def event_fan_out(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").cast("string").alias("task_id"), F.col("o_orderstatus").alias("status"))
+    return changes.fan_out(o.where(F.col("task_id").cast("long") % 3 == 0), o.select("profile_id", "task_id"))
+
+
+@query("SELECT c_custkey, polygon_no, ring_no, n FROM (SELECT c_custkey, unnest(CASE c_custkey % 4 WHEN 0 THEN [0] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 0] ELSE [] END) AS polygon_no, unnest(CASE c_custkey % 4 WHEN 0 THEN [0] WHEN 1 THEN [0, 0] WHEN 2 THEN [0, 1] ELSE [] END) AS ring_no, 4 AS n FROM customer)")
+def geojson_rings(spark, d):
+    ring = "[[0,0],[4,0],[4,4],[0,0]]"
+    texts = (f'{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[{ring}]}}}}', f'{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}]]}}', f'{{"type":"FeatureCollection","features":[{{"geometry":{{"type":"Polygon","coordinates":[{ring},{ring}]}}}}]}}', '{"type":"Point","coordinates":[1,2]}')
+    rows = read(spark, d, "customer").select("c_custkey", named(F.col("c_custkey") % 4, texts).alias("text"))
+    return tables.rings(rows, "text").select("c_custkey", "polygon_no", "ring_no", F.size("ring").alias("n"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from terrane.operators.grid import finite
 
-GEOJSON = "type string, features array<struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>>>, geometry struct<type: string, coordinates: array<array<array<double>>>>, coordinates array<array<array<double>>>"
+_SHAPE = "struct<type: string, coordinates: string, geometries: array<struct<type: string, coordinates: string>>>"
+GEOJSON = f"type string, coordinates string, geometries array<struct<type: string, coordinates: string>>, geometry {_SHAPE}, features array<struct<geometry: {_SHAPE}>>"
+RINGS = "array<array<struct<x: double, y: double>>>"
 
 
 def read_layer(spark: SparkSession, path: str, value: str = "value") -> DataFrame:
@@ -26,12 +28,54 @@ def selected(cells: DataFrame) -> DataFrame:
     return cells.where("decision = 1").select("grid_cell_id", "row", "col", F.lit(1).cast("short").alias("decision"))
 
 
+def polygons_in(text: Column) -> Column:
+    """Polygons (arrays of rings of x, y) of GeoJSON text: collections, features, bare geometries, multi-part ones and
+    geometry collections; other geometries have none. NULL and what is no GeoJSON give an empty array."""
+    g = F.from_json(text, GEOJSON)
+    none = F.array().cast(f"array<{_SHAPE}>")
+    bare = F.struct(g["type"].alias("type"), g["coordinates"].alias("coordinates"), g["geometries"].alias("geometries"))
+    shapes = F.concat(F.coalesce(F.transform(g["features"], lambda f: f["geometry"]), none), F.array(g["geometry"], bare))
+    flat = F.flatten(F.transform(F.array_compact(shapes), lambda x: F.concat(F.array(F.struct(x["type"].alias("type"), x["coordinates"].alias("coordinates"))), F.coalesce(x["geometries"], F.array().cast("array<struct<type: string, coordinates: string>>")))))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    rings_of = lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point))
+    one = lambda x: F.array(rings_of(F.from_json(x["coordinates"], "array<array<array<double>>>")))
+    many = lambda x: F.transform(F.from_json(x["coordinates"], "array<array<array<array<double>>>>"), rings_of)
+    parts = F.transform(flat, lambda x: F.when(x["type"] == "Polygon", one(x)).when(x["type"] == "MultiPolygon", many(x)))
+    return F.coalesce(F.array_compact(F.flatten(F.array_compact(parts))), F.array().cast(f"array<{RINGS}>"))
+
+
+def area_in(text: Column) -> Column:
+    """polygons_in(text); text without any polygon raises."""
+    found = polygons_in(text)
+    return F.when(F.size(found) > 0, found).otherwise(F.raise_error(F.lit("no polygon in the geometry")).cast(f"array<{RINGS}>"))
+
+
 def rings(geojson: DataFrame, column: str) -> DataFrame:
-    """The rings (arrays of x, y) of polygons in GeoJSON text: a collection, a feature or a bare geometry. Others and empty ones give no row."""
-    g = geojson.withColumn("g", F.from_json(column, GEOJSON))
-    parts = F.coalesce(F.transform("g.features", lambda f: f["geometry"]["coordinates"]), F.array(F.coalesce("g.geometry.coordinates", "g.coordinates")))
-    rows = g.withColumn("polygon", F.explode(parts)).where("polygon IS NOT NULL")
-    return rows.select(*geojson.columns, F.posexplode("polygon").alias("ring_no", "points")).withColumn("ring", F.transform("points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).drop("points")
+    """The columns of geojson with polygon_no, ring_no and ring of every polygon in its text."""
+    rows = geojson.select(*geojson.columns, F.posexplode(polygons_in(F.col(column))).alias("polygon_no", "polygon"))
+    return rows.select(*geojson.columns, "polygon_no", F.posexplode("polygon").alias("ring_no", "ring"))
+
+
+def tile_records(rows: DataFrame, column: str) -> DataFrame:
+    """tile_id, row_start, row_stop, col_start, col_stop, count, positive, layers (map of a layer to its cells) of JSON
+    records of tiles; what has no tile_id gives no row."""
+    record = F.from_json(column, "tile_id string, row_start long, row_stop long, col_start long, col_stop long, count long, positive double, layers map<string, long>")
+    return rows.select(record.alias("r")).select("r.*").where("tile_id IS NOT NULL")
+
+
+def coordinates_differ(left: DataFrame, right: DataFrame, axis: str, tolerance: float) -> DataFrame:
+    """at, and both coordinates, where two arrays of coordinates (at, axis) lie further apart than the tolerance or one has none."""
+    rows = left.select("at", F.col(axis).alias("a")).join(right.select("at", F.col(axis).alias("b")), "at", "full_outer")
+    return rows.where(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > tolerance))
+
+
+def catalog(arrays: DataFrame, term: str = "", groups: tuple[str, ...] = ()) -> DataFrame:
+    """path, group, name of the arrays whose path or name holds the term (trimmed, without case) and whose group has one of
+    the segments, sorted by path."""
+    text = term.strip().lower()
+    hit = F.lower("path").contains(text) | F.lower("name").contains(text)
+    hit = hit & F.arrays_overlap(F.split(F.lower("group"), "/"), F.array(*map(F.lit, groups))) if groups else hit
+    return arrays.where(hit).orderBy("path")
 
 
 def arrays_in(metadata: DataFrame, column: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def notifications(events: DataFrame, visible: DataFrame) -> DataFrame:
@@ -27,3 +30,45 @@ def latest_state(events: DataFrame) -> DataFrame:
     """user_id and its last event type, by time and id."""
     last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return events.withColumn("nth", F.row_number().over(last)).where("nth = 1").select("user_id", "event_type", "event_id")
+
+
+def changed_only(events: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+    """Of a batch the events after which a column differs from the key's event before, NULL equal to NULL; its first event counts
+    as a change."""
+    w = Window.partitionBy(key).orderBy(*order)
+    before = F.lag(F.struct(*columns)).over(w)
+    return events.withColumn("before__", before).where(~F.struct(*columns).eqNullSafe(F.col("before__"))).drop("before__")
+
+
+def changed_stream(events: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """The same of a stream: the last values of each key are its state, so a change is seen across batches and restarts."""
+    state_type = T.StructType([T.StructField("last", T.StringType())])
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        keep = []
+        for values in rows[columns].itertuples(index=False):
+            now = repr(tuple(None if pd.isna(v) else v for v in values))
+            keep.append(now != last)
+            last = now
+        state.update((last,))
+        yield rows[keep]
+
+    return events.groupBy(key).applyInPandasWithState(run, events.schema, state_type, "append", GroupStateTimeout.NoTimeout)
+
+
+def dispatched(messages: DataFrame, column: str) -> DataFrame:
+    """kind, task_id, status, profile_id of JSON messages: task (goes on to who may see it), scope (a profile's rights have
+    changed), ignored (a run) or invalid (to be logged)."""
+    m = F.from_json(column, "type string, task_id string, status string, profile_id string")
+    rows = messages.select(m.alias("m")).select("m.*")
+    whole = F.col("task_id").isNotNull() & F.col("status").isNotNull()
+    kind = F.when((F.col("type") == "profile_scope.updated") & F.col("profile_id").isNotNull(), "scope").when(F.col("type") == "task_run.updated", "ignored").when((F.col("type") == "task.updated") & whole, "task").otherwise("invalid")
+    return rows.select(kind.alias("kind"), "task_id", "status", "profile_id")
+
+
+def fan_out(tasks: DataFrame, visible: DataFrame) -> DataFrame:
+    """profile_id, task_id, status: each change for everyone who may see its task. visible (profile_id, task_id) is read anew with
+    every batch of a stream, so that a changed scope holds from the next one on."""
+    return visible.join(tasks.select("task_id", "status"), "task_id").select("profile_id", "task_id", "status")
