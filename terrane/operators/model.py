@@ -84,8 +84,8 @@ def threshold(units: DataFrame) -> DataFrame:
 
 def priority(units: DataFrame, shares: list[float]) -> DataFrame:
     """unit, priority: the mean allocation over nested budgets (shares of the number of units)."""
-    n = units.count()
-    rows = ranked(units, "objective", "unit")
+    rows = ranked(units, "objective", "unit")  # a table by now, so the units are not made anew to count them
+    n = rows.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
     allocation = lambda b: F.least(F.greatest(F.lit(b * n) - (F.col("rank") - 1), F.lit(0.0)), F.lit(1.0))
     return rows.select("unit", "rank", (sum((allocation(b) for b in shares), F.lit(0.0)) / len(shares)).alias("priority"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geo, masks, scalars
 from terrane.functions.shared import save
-from terrane.operators import compiler, graph, grid, metadata, resample, states, validation
+from terrane.operators import compiler, graph, grid, metadata, problems, resample, states, validation
 from terrane.operators import model as objectives
 from terrane.queries import _NZ, CELLS, EDGES, ORACLE, SCALES, cells, nonzeros, problem, query, read, values
 from terrane.queries import states as unit_states
@@ -600,3 +600,77 @@ def geojson_rings(spark, d):
     texts = (f'{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[{ring}]}}}}', f'{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}]]}}', f'{{"type":"FeatureCollection","features":[{{"geometry":{{"type":"Polygon","coordinates":[{ring},{ring}]}}}}]}}', '{"type":"Point","coordinates":[1,2]}')
     rows = read(spark, d, "customer").select("c_custkey", named(F.col("c_custkey") % 4, texts).alias("text"))
     return tables.rings(rows, "text").select("c_custkey", "polygon_no", "ring_no", F.size("ring").alias("n"))
+
+
+# --- problems before they are compiled -------------------------------------------------------------------------------
+@query(
+    """WITH o AS (SELECT o_custkey AS problem_id, 'l' || (o_orderkey % 9) AS layer, CASE WHEN o_orderkey % 50 = 0 THEN 'up' ELSE 'maximize' END AS direction, CASE WHEN o_orderkey % 31 = 0 THEN -1.0 ELSE 1.0 END AS importance FROM orders),
+c AS (SELECT c_custkey AS problem_id, 'l' || (c_custkey % 12) AS layer, CASE WHEN c_custkey % 3 > 0 THEN 5.0 END AS low, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 10 * 1.0 END AS high FROM customer),
+k AS (SELECT c_custkey AS problem_id, unnest(['l0', 'l1', 'l2', 'l3', 'l4', 'l5', 'l6', 'l7']) AS layer FROM customer)
+SELECT problem_id, layer, 'unknown direction' AS problem FROM o WHERE direction = 'up' UNION ALL SELECT problem_id, layer, 'negative importance' FROM o WHERE importance < 0
+UNION ALL SELECT problem_id, layer, 'layer twice in objectives' FROM o GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT problem_id, layer, 'no bound' FROM c WHERE low IS NULL AND high IS NULL UNION ALL SELECT problem_id, layer, 'minimum above maximum' FROM c WHERE low > high
+UNION ALL SELECT problem_id, layer, 'no contract' FROM (SELECT problem_id, layer FROM o UNION SELECT problem_id, layer FROM c) AS n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.problem_id = n.problem_id AND k.layer = n.layer)
+UNION ALL SELECT c_custkey, NULL, 'no objective' FROM customer WHERE c_custkey NOT IN (SELECT problem_id FROM o)"""
+)
+def problem_violations(spark, d):
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    layer = lambda n: F.concat(F.lit("l"), n.cast("string")).alias("layer")
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("problem_id"), layer(k % 9), F.when(k % 50 == 0, "up").otherwise("maximize").alias("direction"), F.when(k % 31 == 0, -1.0).otherwise(1.0).alias("importance"))
+    customers = read(spark, d, "customer")
+    bounds = customers.select(c.alias("problem_id"), F.lit("aggregate").alias("type"), layer(c % 12), F.when(c % 3 > 0, 5.0).alias("low"), F.when(c % 4 > 0, (c % 10).cast("double")).alias("high"))
+    contracts = customers.select(c.alias("problem_id"), F.explode(F.array(*(F.lit(f"l{i}") for i in range(8)))).alias("layer"))
+    return problems.problem_violations(o, bounds, contracts)
+
+
+def layer_contracts(spark, d) -> DataFrame:
+    p, q = F.col("o_custkey"), F.col("o_orderkey")
+    sizes = F.element_at(F.array(*map(F.lit, (30.0, 60.0, 500.0))), (q % 3 + 1).cast("int"))
+    return read(spark, d, "orders").select(p.alias("problem_id"), sizes.alias("native"), (sizes * (q % 5 + 1)).alias("evidence"))
+
+
+CONTRACTS = "k AS (SELECT o_custkey AS problem_id, [30.0, 60, 500][o_orderkey % 3 + 1]::DOUBLE AS native, [30.0, 60, 500][o_orderkey % 3 + 1]::DOUBLE * (o_orderkey % 5 + 1) AS evidence FROM orders)"
+
+
+@query(f"WITH {CONTRACTS} SELECT problem_id, min(evidence) AS finest, max(evidence) AS coarsest FROM k GROUP BY 1")
+def evidence_range(spark, d):
+    return problems.evidence(layer_contracts(spark, d))
+
+
+@query(
+    f"WITH {CONTRACTS}, p AS (SELECT c_custkey AS problem_id, CASE WHEN c_custkey % 9 > 0 THEN c_acctbal * 1e6 + 1e10 END AS area, 120.0 AS target FROM customer), r AS (SELECT problem_id, area, coalesce(sum(greatest(1, (target / native) ** 2)), 0) AS read FROM p LEFT JOIN k USING (problem_id) GROUP BY 1, 2) "
+    "SELECT problem_id, ceil(area / 120 / 120)::BIGINT AS units, ceil(ceil(area / 120 / 120) * read)::BIGINT AS source_cells, ceil(ceil(area / 120 / 120) * read * 4)::BIGINT AS input_bytes FROM r"
+)
+def size_estimates(spark, d):
+    c = F.col("c_custkey")
+    p = read(spark, d, "customer").select(c.alias("problem_id"), F.when(c % 9 > 0, F.col("c_acctbal") * 1e6 + 1e10).alias("area"), F.lit(120.0).alias("target"))
+    return problems.estimates(p, layer_contracts(spark, d))
+
+
+@query("SELECT c_custkey AS id, unnest(list_filter([CASE WHEN c_custkey % 7 = 0 THEN 'time limit not positive' END, CASE WHEN c_custkey % 11 = 0 THEN 'negative relative gap' END, CASE WHEN c_custkey % 13 = 0 THEN 'no threads' END, CASE WHEN c_custkey % 5 = 0 THEN 'reserved options: random_seed, threads' END], lambda x: x IS NOT NULL)) AS problem FROM customer")
+def configuration_violations(spark, d):
+    c, none = F.col("c_custkey"), F.lit(None).cast("double")
+    names = F.when(c % 5 == 0, F.array(*map(F.lit, ("threads", "presolve", "random_seed")))).when(c % 3 == 0, F.array(F.lit("presolve")))
+    settings = read(spark, d, "customer").select(c.alias("id"), F.when(c % 7 == 0, 0.0).otherwise(10.0).alias("time_limit"), F.when(c % 11 == 0, -0.1).alias("relative_gap"), none.alias("absolute_gap"), F.when(c % 13 == 0, 0).alias("threads"), names.alias("options"))
+    return problems.configuration_violations(settings)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus = 'O' AND (o_orderkey % 3 = 0 OR coalesce(o_orderkey % 4 = 0, false)) ELSE o_orderstatus IN ('O', 'F') END AS accepted FROM orders")
+def result_acceptance(spark, d):
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "optimal").when(F.col("o_orderstatus") == "F", "feasible").otherwise("time_limit")
+    gap = F.when(k % 4 == 0, 0.0).when(k % 4 == 1, 0.1)
+    return read(spark, d, "orders").select("o_orderkey", problems.acceptable(status, gap, F.when(F.col("o_custkey") % 2 == 0, "exact_audit").otherwise("standard"), k % 3 != 0).alias("accepted"))
+
+
+@query("SELECT o_orderkey AS task_id, 3 AS source_id, CASE o_orderstatus WHEN 'O' THEN 'completed' WHEN 'F' THEN 'failed' ELSE 'queued' END AS status, o_orderdate AS created FROM orders")
+def run_backfill(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "completed").when(F.col("o_orderstatus") == "F", "failed_to_submit").otherwise("draft")
+    tasks = read(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), status.alias("status"), F.col("o_orderdate").alias("created"))
+    return problems.backfilled(tasks, read(spark, d, "region").where("r_regionkey = 3").select(F.col("r_regionkey").alias("source_id")))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 9 END WHEN o_orderkey % 2 = 0 THEN 1 END AS started_at, CASE WHEN o_orderstatus = 'F' THEN 9 END AS completed_at FROM orders")
+def state_times(spark, d):
+    k = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select(k.alias("k"), F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "failed").otherwise("queued").alias("status"), F.when(k % 2 == 0, 1).alias("started_at"), F.lit(None).cast("int").alias("completed_at"))
+    return problems.started(rows, F.lit(9)).drop("status")

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from terrane.functions import contracts, geo, masks, scalars
-from terrane.operators import compiler, graph, grid, metadata, model, resample, states, validation
+from terrane.operators import compiler, graph, grid, metadata, model, problems, resample, states, validation
 from terrane.sources import tables
 from terrane.streaming import changes
 
@@ -270,3 +270,15 @@ def test_stored_states_of_odd_input(spark):
     order = {"name": F.col("name"), "created": F.col("created")}
     row = spark.createDataFrame([("b", "a")], "name string, created string")
     assert row.select(states.sort_column(F.lit("other"), order, "created").alias("c")).first().c == "a"
+
+
+def test_order_repeats_and_hashes(spark):
+    rows = spark.createDataFrame([("b",), ("A",), ("a",), (None,)], "name string")
+    assert [r.name for r in problems.sorted_by_name(rows.where("name IS NOT NULL"), "name").collect()] == ["a", "A", "b"]
+    assert problems.without_repeats(rows.where("name < 'b'"), "name").count() == 2
+    with pytest.raises(Exception, match="repeated key: b"):
+        problems.without_repeats(rows.unionByName(rows), "name").where("name = 'b'").collect()
+    h = lambda df: problems.content_hash(df, ["name"]).first().content_sha256
+    assert h(rows) == h(rows.orderBy("name").repartition(3)) and len({h(rows), h(rows.unionByName(rows)), h(rows.limit(0)), h(rows.where("name = 'a'"))}) == 4
+    with pytest.raises(Exception, match="not one source"):
+        problems.backfilled(spark.createDataFrame([(1, "x", 1)], "task_id long, status string, created long"), spark.createDataFrame([(1,), (2,)], "source_id long")).collect()
