@@ -2,6 +2,12 @@
 
 Each stage gets the documents that the one before it kept. All but the last return the columns of documents; n_chars
 follows the text where a stage changes it. The last returns the encoding of what is left.
+
+Null and empty texts are not toxic, have no lines, no near duplicates and no benchmark items, and are encoded to nothing,
+so they stay. Repeated rows: equal lines of one document id and text stay in all of its rows or go in all, rows of one
+doc_id are never near duplicates of each other's id; all of them go if one of them holds a benchmark item. Rows without a
+doc_id are never removed as duplicates. Ties go to the smallest doc_id. Extra columns pass through all stages but the last
+with their values, whatever their names. Texts are read whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -46,7 +52,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_repeated_lines), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("bpe", encode)]
-#: The first stage is a trained network, the last a tokenizer: beyond SQL. tests/llm test each stage by brute force.
+#: The first stage is a trained network, the last a tokenizer: beyond SQL. tests/llm/test_pipeline_stages.py runs every stage
+#: and run() on a fixture with rows worked out by hand and the tokenizers library; the operators have brute-force tests.
 ORACLE_SQL = None
 
 
