@@ -71,10 +71,9 @@ def centre(row: Column, col: Column, grid: Grid) -> tuple[Column, Column]:
 
 def tiles(spark: SparkSession, grid: Grid, size: int) -> DataFrame:
     """tile_id and bounds of all tiles in row-major order; the last ones may be ragged."""
-    rows = spark.range(0, grid.height, size).select(F.col("id").alias("row_start"))
-    cols = spark.range(0, grid.width, size).select(F.col("id").alias("col_start"))
+    rows = spark.range(0, grid.height, size).select(F.col("id").alias("row_start"), F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1), F.lit(size)).cast("array<long>")).alias("col_start"))
     stop = lambda start, top: F.least(F.col(start) + size, F.lit(top))
-    return rows.crossJoin(F.broadcast(cols)).select(
+    return rows.select(
         F.format_string("r%09d-c%09d", "row_start", "col_start").alias("tile_id"), "row_start", stop("row_start", grid.height).alias("row_stop"), "col_start", stop("col_start", grid.width).alias("col_stop")
     )
 
@@ -85,7 +84,7 @@ def in_tiles(cells: DataFrame, size: int) -> DataFrame:
 
 def padded(cells: DataFrame, spark: SparkSession, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
     """The window [rows) x [cols) of a layer; cells that it lacks, also outside, have a NULL value."""
-    window = spark.range(*rows).select(F.col("id").alias("row")).crossJoin(F.broadcast(spark.range(*cols).select(F.col("id").alias("col"))))
+    window = spark.range(*rows).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(cols[0]), F.lit(cols[1] - 1)).cast("array<long>")).alias("col")).where(F.col("col").between(cols[0], cols[1] - 1))
     near = cells.where(F.col("row").between(rows[0], rows[1] - 1) & F.col("col").between(cols[0], cols[1] - 1))
     return window.join(near.select("row", "col", "value"), ["row", "col"], "left")
 
