@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, decontam, html, jaccard, lines, quality, substrings, tokens, toxicity, urls
+from terrane.llm import bpe, decontam, html, jaccard, lines, packing, quality, search, substrings, tokens, toxicity, urls, vectors
 from terrane.llm.shared import save
 
 
@@ -83,6 +83,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_toxicity,
         op10_substring_dedup,
+        op11_vector_code_compression,
+        op12_mixture_packing,
+        op13_ranked_search,
         quality_ablations,
     )
 }
@@ -149,7 +165,47 @@ r AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN r USING (doc_id)""",
+    "op13_ranked_search": r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS times FROM b GROUP BY ALL),
+f AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM n),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s WHERE t IN (SELECT t FROM q) GROUP BY t, nn),
+m AS (SELECT doc_id, 25 + (75 * n * nn) // l AS m FROM n, s),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10""",
 }
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Product codes in SQL: every part is compared with every entry."""
+
+    def assigned(books: str) -> str:
+        return f"""SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+  SELECT vec_id, x.p, e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN {books} b ON x.p = b.p) GROUP BY vec_id, p"""
+
+    steps = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+        f"x AS (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM v, range({parts}) AS r(p))",
+        f"o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT {entries})",
+        "b0 AS (SELECT p, e, x FROM x JOIN o USING (vec_id))",
+    ]
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({assigned(f'b{k}')})")
+        steps.append(
+            f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT a.p, a.e, i, floor(sum(c) / count(*))::BIGINT AS m"
+            f" FROM (SELECT vec_id, p, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM x) u JOIN a{k} a ON u.vec_id = a.vec_id AND u.p = a.p GROUP BY a.p, a.e, i) GROUP BY p, e) n ON n.p = b.p AND n.e = b.e)"
+        )
+    steps.append(f"a AS ({assigned(f'b{rounds}')})")
+    steps.append("c AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a GROUP BY vec_id)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h"
+
+
+ORACLE["op11_vector_code_compression"] = _codes_sql()
 _POLICIES = ", ".join(f"('{policy}', {quality.mask(policy)}, '{rule}', {quality.BIT[rule]})" for policy, rules in quality.POLICIES.items() for rule in rules)
 ORACLE["quality_ablations"] = f"""
 WITH ledger AS ({ORACLE["op4_quality_rules"]}), r AS (SELECT * FROM (VALUES {_POLICIES}) AS r(policy, mask, rule, bit))
