@@ -42,3 +42,31 @@ def test_units_that_bounds_need_stay_flexible(spark):
     assert {r.unit for r in once.where("state = -1").collect()} == {0, 3}
     got, _ = graph.reduce_fixpoint(units.select("unit", "objective", "state"), graph.rook_edges(units), 0.25, save, kept)
     assert {r.unit for r in got.where("state = -1").collect()} == {0, 3} and got.count() == 9
+
+
+def test_blocks_exchange_only_what_changed(spark, monkeypatch):
+    """A chain of 2,000 units that falls one a round, back and forth over blocks, as one block finds it; few rows are written."""
+    written = []
+
+    def counted(df):
+        written.append(save(df).count())
+        return save(df)
+
+    units = spark.createDataFrame([(c, 0, c, -0.25 if c < 1999 else 1.0, -1) for c in range(2000)], "unit long, row long, col long, objective double, state int")
+    flat, edges = units.select("unit", "objective", "state"), graph.rook_edges(units)
+    monkeypatch.setattr(graph, "BLOCK", 500)
+    got, n = graph.reduce_fixpoint(flat, edges, 0.25, counted)
+    assert n == 2000 and got.where("state = 0").count() == 1999 and sum(written) < 3 * 2000
+
+
+def test_any_blocks_give_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    units = [(9 * row + col, row, col, r.choice((-1.0, -0.75, -0.5, -0.25, 0.0, 0.5)), r.choice((-1, -1, -1, -1, 0, 1))) for row in range(9) for col in range(9)]
+    want, rounds = brute_force(units, 0.25)
+    frame = spark.createDataFrame(units, "unit long, row long, col long, objective double, state int")
+    for block in (4, 27):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        got, n = graph.reduce_fixpoint(frame.select("unit", "objective", "state"), graph.rook_edges(frame), 0.25, save)
+        assert n == rounds and {u.unit: u.state for u in got.collect()} == want
+    none, n = graph.reduce_fixpoint(frame.select("unit", "objective", "state").limit(0), graph.rook_edges(frame), 0.25, save)
+    assert none.count() == 0 and n == 1
