@@ -29,7 +29,7 @@ ROWS = 200
 #: Parts of a Newton step that a pass tries at once.
 STEPS = (1.0, 0.6, 0.3, 0.1, 0.03, 0.01, 0.001)
 #: Relative gap and violation of a solution.
-CLOSED = 1e-8
+CLOSED = 1e-10
 
 
 @dataclass
