@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 #: Kind of quantity and the statistics it admits.
 ADMITTED = {
     "amount": ("sum", "area_weighted_mean", "median", "maximum", "minimum"),
-    "cost": ("sum", "area_weighted_mean", "median", "maximum", "minimum"),
     "density": ("area_weighted_mean", "median", "maximum", "minimum"),
     "probability": ("area_weighted_mean", "median", "maximum", "minimum"),
     "binary": ("any", "fraction", "mode", "maximum", "minimum"),
     "categorical": ("mode",),
+    "cost": ("sum", "area_weighted_mean", "median", "maximum", "minimum"),
 }
+#: What a quantity can be.
+QUANTITIES = ("extensive", "intensive", "categorical")
 
 
 def violations(spark: SparkSession, contracts: DataFrame) -> DataFrame:
@@ -25,7 +27,8 @@ def violations(spark: SparkSession, contracts: DataFrame) -> DataFrame:
     rows = contracts.join(F.broadcast(rules), "kind", "left")
     checks = (
         (F.col("admitted").isNull(), "unknown kind"),
-        (~F.array_contains("admitted", F.col("statistic")), "statistic not admitted"),
+        (F.col("admitted").isNotNull() & ~F.coalesce(F.array_contains("admitted", F.col("statistic")), F.lit(False)), "statistic not admitted"),
+        (~F.coalesce(F.col("quantity").isin(*QUANTITIES), F.lit(False)), "unknown quantity"),
         ((F.col("statistic") == "mode") & ~F.col("quantity").eqNullSafe(F.lit("categorical")), "mode needs a categorical quantity"),
         ((F.col("statistic") == "mode") & ~F.col("tie_rule").eqNullSafe(F.lit("lowest_value")), "mode needs the lowest value on ties"),
         ((F.col("statistic") == "sum") & ~F.col("quantity").eqNullSafe(F.lit("extensive")), "sum needs an extensive quantity"),
@@ -56,10 +59,43 @@ def canonical_hash(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def footprints(models: DataFrame, safety: float = 1.5) -> DataFrame:
+    """models with compiler_bytes, solver_bytes, scratch_bytes and peak_bytes.
+
+    models: planning_units, primary, auxiliary, rows, nonzeros (of the matrix), feature_nonzeros. A variable takes two
+    bounds, an objective and a kind; a row a pointer and two bounds; a nonzero an index and a coefficient. The solver holds
+    a copy of all that, and an index and a value more for each variable. Scratch takes the features and the compiler's arrays.
+    """
+    variables, rows, nonzeros = F.col("primary") + F.col("auxiliary"), F.col("rows"), F.col("nonzeros")
+    matrix = (rows + 1) * 8 + nonzeros * 12 + rows * 16
+    compiler, solver = variables * 25 + matrix, variables * 37 + matrix
+    peak = F.floor((compiler + solver) * F.lit(float(safety))).cast("long")
+    return models.withColumns({"compiler_bytes": compiler, "solver_bytes": solver, "scratch_bytes": F.col("feature_nonzeros") * 12 + compiler, "peak_bytes": peak})
+
+
+def admissions(models: DataFrame, peak_limit: int = 8 << 30, scratch_limit: int = 64 << 30, safety: float = 1.5) -> DataFrame:
+    """footprints() with gate and reason. A model of which only the units are known is let through to be measured; a measured
+    one must fit the memory, then the scratch space. Counts below nought, or more variables than units, are refused."""
+    numbers = ("primary", "auxiliary", "rows", "nonzeros", "feature_nonzeros")
+    counted = F.col("rows").isNull() & F.col("nonzeros").isNull()
+    least = F.least("planning_units", *numbers)
+    reason = (
+        F.when(least < 0, "negative dimension")
+        .when(F.col("primary") > F.col("planning_units"), "more variables than units")
+        .when(F.col("measured") == F.lit(False), "structural_inventory_required")
+        .when(F.col("peak_bytes") > peak_limit, "profile_peak_memory_exceeded")
+        .when(F.col("scratch_bytes") > scratch_limit, "profile_scratch_space_exceeded")
+        .otherwise("admitted")
+    )
+    known = models.withColumn("measured", ~counted)
+    filled = known.withColumns({"primary": F.coalesce("primary", "planning_units").cast("long")} | {c: F.coalesce(c, F.lit(0)).cast("long") for c in numbers[1:]})
+    return footprints(filled, safety).withColumns({"gate": F.when(F.col("measured"), "compiled_model").otherwise("structural_inventory"), "reason": reason}).drop("measured")
+
+
 def footprint(variables: int, rows: int, nonzeros: int, pairs: int = 0, safety: float = 1.5) -> int:
-    """Bytes of a sparse model: a pair of flexible neighbours adds a variable, two rows and four nonzeros."""
+    """Peak bytes of one sparse model: a pair of flexible neighbours adds a variable, two rows and four nonzeros."""
     variables, rows, nonzeros = variables + pairs, rows + 2 * pairs, nonzeros + 4 * pairs
-    return int(safety * (variables * 62 + nonzeros * 12 + rows * 24 + 8))
+    return int(safety * (variables * 62 + nonzeros * 24 + rows * 48 + 16))
 
 
 def admit(peak: int, scratch: int, peak_limit: int = 8 << 30, scratch_limit: int = 64 << 30) -> str:

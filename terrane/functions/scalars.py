@@ -3,6 +3,8 @@ unless said; nothing raises on odd input."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,7 +50,10 @@ def seed_colour(seed: Column) -> Column:
     """A colour that depends on the seed alone: a 32-bit hash of its characters, each channel brought into a range."""
     wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
     code = lambda c: F.ascii(c).cast("long")
-    h = F.aggregate(F.filter(F.split(seed, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: wrap(a * 31 + code(c)))
+    high, low_part = lambda c: 0xD800 + F.shiftright(code(c) - 0x10000, 10), lambda c: 0xDC00 + (code(c) - 0x10000) % 0x400
+    # characters beyond the first 65,536 count as the two units that they are in UTF-16
+    add = lambda a, c: F.when(code(c) < 0x10000, wrap(a * 31 + code(c))).otherwise(wrap(wrap(a * 31 + high(c)) * 31 + low_part(c)))
+    h = F.aggregate(F.filter(F.split(seed, ""), lambda c: c != ""), F.lit(0).cast("long"), add)
     channel = lambda shift, low, high: F.lpad(F.lower(F.hex(low + F.pmod(F.shiftright(h, shift), F.lit(256)) % (high - low + 1))), 2, "0")
     return F.concat(F.lit("#"), channel(0, 90, 190), channel(8, 90, 190), channel(16, 110, 210))
 
@@ -105,10 +110,19 @@ def array_path(raw: Column, bucket: str = "") -> Column:
 
 
 def integer_setting(text: Column) -> Column:
-    """A whole number, also in decimal or scientific notation; NULL for fractions and what is no number."""
+    """A whole number, also in decimal or scientific notation; NULL for fractions, what is no number, and beyond 64 bits.
+
+    Judged by its digits, so that no fraction is too small to be seen.
+    """
+    pattern = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,9}))?$"
     plain = F.trim(text)
-    value = F.when(F.rlike(plain, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), plain.try_cast("decimal(38,10)"))
-    return F.when(value == F.floor(value), value.try_cast("long"))
+    part = lambda k: F.regexp_extract(plain, pattern, k)
+    digits = F.concat(part(2), part(3))
+    shift = F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int"), F.lit(0)) - F.length(part(3))  # places that the point moves right
+    whole = F.substring(digits, F.lit(1), F.greatest(F.length(digits) + shift, F.lit(0)))
+    rest = F.substring(digits, F.greatest(F.length(digits) + shift, F.lit(0)) + 1, F.length(digits))
+    number = F.when(F.rlike(digits, F.lit("^0+$")), F.lit("0")).when(shift > 40, F.lit(None)).when(shift >= 0, F.rpad(digits, F.length(digits) + shift, F.lit("0"))).when(F.rlike(rest, F.lit("^0*$")), F.concat(F.lit("0"), whole))
+    return F.when(F.rlike(plain, F.lit(pattern)) & (digits != ""), F.concat(part(1), number).try_cast("decimal(38,0)")).try_cast("long")
 
 
 def max_zoom(resolution: Column) -> Column:
@@ -155,10 +169,20 @@ def blank_to_null(text: Column, kind: str) -> Column:
     return F.nullif(text, F.lit("")).try_cast(kind)
 
 
-def with_entry(json: Column, key: str, value: Column) -> Column:
-    """A JSON object with one entry set, whether it was there or not; NULL counts as an empty object."""
-    entries = F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.to_json(F.map_concat(F.map_filter(entries, lambda k, _: k != key), F.create_map(F.lit(key), value.cast("string"))))
+def with_entry(json: Column, path: str | Sequence[str], value: Column) -> Column:
+    """A JSON object with one entry set, whether it was there or not; NULL counts as an empty object.
+
+    path: a key, or keys of objects within each other; where one before the last is missing or no object, nothing is set.
+    All other entries, and value, keep their types: value may be text, a number, a boolean, a variant or NULL.
+    """
+    first, *rest = [path] if isinstance(path, str) else path
+    kind = "map<string,variant>"
+    entries = F.coalesce(F.from_json(json, kind), F.create_map().cast(kind))
+    if not rest:
+        return F.to_json(F.map_concat(F.map_filter(entries, lambda k, _: k != first), F.create_map(F.lit(first), F.coalesce(value.cast("variant"), F.parse_json(F.lit("null"))))))
+    inner = F.to_json(F.try_element_at(entries, F.lit(first)))
+    changed = F.map_concat(F.map_filter(entries, lambda k, _: k != first), F.create_map(F.lit(first), F.try_parse_json(with_entry(inner, rest, value))))
+    return F.to_json(F.when(F.coalesce(inner.startswith("{"), F.lit(False)), changed).otherwise(entries))
 
 
 def part_size(size: Column, least: int = 5 << 20, parts: int = 10_000) -> Column:

@@ -57,6 +57,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("unit").agg(F.count("*").alias("degree"))
 
 
+def neighbour_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """unit, flexible, selected, degree: how many neighbours are flexible, fixed in, and there at all."""
+    both = edges.select(F.col("a").alias("unit"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("unit"), F.col("a").alias("other")))
+    rows = both.join(states.select(F.col("unit").alias("other"), F.coalesce("state", F.lit(-1)).alias("state")), "other")
+    return rows.groupBy("unit").agg(F.count_if(F.col("state") == -1).alias("flexible"), F.count_if(F.col("state") == 1).alias("selected"), F.count("*").alias("degree"))
+
+
 def protected(nonzeros: DataFrame, rows: DataFrame) -> DataFrame:
     """unit: those that a bound may need: a positive coefficient in a row with a finite lower bound, or a negative one in
     a row with a finite upper bound. nonzeros: row_id, unit, coef. rows: row_id, low, high."""

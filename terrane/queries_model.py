@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions import geo, masks, scalars
+from terrane.functions import contracts, geo, masks, scalars
 from terrane.functions.shared import save
 from terrane.operators import compiler, graph, grid, metadata, problems, resample, states, validation
 from terrane.operators import model as objectives
@@ -427,12 +427,13 @@ def utm_parse(spark, d):
     return read(spark, d, "customer").select("c_custkey", scalars.utm(text)["srid"].alias("srid"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 AND abs(c_acctbal / 40) <= 90 AND c_custkey / 4.0 <= 180 THEN round(c_acctbal / 40, 2)::VARCHAR || ',' || (c_custkey / 4.0)::VARCHAR END AS point FROM customer WHERE c_custkey < 900".replace("round(c_acctbal / 40, 2)::VARCHAR || ',' || (c_custkey / 4.0)::VARCHAR", "round(c_acctbal / 40, 2) + c_custkey / 4.0"))
+@query("WITH t AS (SELECT c_custkey, c_custkey * 7919 % 21000 - 10500 AS u, c_custkey * 104729 % 40000 - 20000 AS v FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 AND abs(u) <= 9000 AND abs(v) <= 18000 THEN u / 100.0::DOUBLE + v / 100.0::DOUBLE END AS point FROM t")
 def lat_long_parse(spark, d):
     k = F.col("c_custkey")
-    text = F.concat(F.format_string("%.2f", F.col("c_acctbal") / 40), F.when(k % 3 < 2, " ").otherwise("x"), (k / 4).cast("string"))
+    shown = lambda n: F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 100).cast("string"), F.lit("."), F.lpad((F.abs(n) % 100).cast("string"), 2, "0"))
+    text = F.concat(shown(k * 7919 % 21000 - 10500), F.when(k % 3 < 2, " ").otherwise("x"), shown(k * 104729 % 40000 - 20000))
     p = scalars.lat_long(text)
-    return read(spark, d, "customer").where("c_custkey < 900").select("c_custkey", (p["lat"] + p["long"]).alias("point"))
+    return read(spark, d, "customer").select("c_custkey", (p["lat"] + p["long"]).alias("point"))
 
 
 @query(
@@ -511,10 +512,56 @@ def scalar_settings(spark, d):
     return read(spark, d, "customer").select("c_custkey", scalars.legacy_hash(k).alias("hash"), scalars.blank_to_null(F.when(k % 3 > 0, k.cast("string")).otherwise(""), "long").alias("setting"), scalars.part_size(k * 100_000_000).alias("part"), seconds.alias("seconds"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind FROM events")
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, event_type AS kind, 'BIGINT' AS type, user_id AS of, NULL::VARCHAR AS none FROM events")
 def json_set(spark, d):
-    rows = read(spark, d, "events").withColumn("props", scalars.with_entry(scalars.with_entry(F.col("props"), "kind", F.lit("old")), "kind", F.col("event_type")))
-    return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.kind").alias("kind"))
+    props = scalars.with_entry(scalars.with_entry(F.col("props"), "kind", F.lit("old")), "kind", F.col("event_type"))
+    props = scalars.with_entry(scalars.with_entry(props, "user", F.parse_json(F.lit('{"id": 0}'))), ("user", "id"), F.col("user_id"))
+    rows = read(spark, d, "events").withColumn("props", F.parse_json(scalars.with_entry(props, ("nobody", "id"), F.lit(1))))
+    of = lambda path, kind: F.variant_get("props", path, kind)
+    return rows.select("event_id", of("$.k", "long").alias("k"), of("$.kind", "string").alias("kind"), F.schema_of_variant(of("$.k", "variant")).alias("type"), of("$.user.id", "long").alias("of"), of("$.nobody", "string").alias("none"))
+
+
+#: Models of suppliers' nations: parts as units, suppliers as rows, their lines as nonzeros; some only counted so far.
+MODELS = "m AS (SELECT s_nationkey AS model, count(DISTINCT l_partkey) AS units, count(DISTINCT l_suppkey) AS rws, count(*) AS nnz FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), a AS (SELECT *, model % 5 = 0 AS early, 2 * units AS aux FROM m)"
+
+
+@query(
+    f"""WITH {MODELS}, b AS (SELECT *, CASE WHEN early THEN 0 ELSE rws END AS r, CASE WHEN early THEN 0 ELSE nnz END AS z FROM a),
+c AS (SELECT *, 25 * (units + aux) + 8 * (r + 1) + 12 * z + 16 * r AS compiler, 37 * (units + aux) + 8 * (r + 1) + 12 * z + 16 * r AS solver FROM b)
+SELECT model, compiler AS compiler_bytes, solver AS solver_bytes, 12 * nnz + compiler AS scratch_bytes, floor(1.5 * (compiler + solver))::BIGINT AS peak_bytes, CASE WHEN early THEN 'structural_inventory' ELSE 'compiled_model' END AS gate,
+CASE WHEN early THEN 'structural_inventory_required' WHEN floor(1.5 * (compiler + solver)) > 60000 THEN 'profile_peak_memory_exceeded' WHEN 12 * nnz + compiler > 27000 THEN 'profile_scratch_space_exceeded' ELSE 'admitted' END AS reason FROM c"""
+)
+def model_admissions(spark, d):
+    rows = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("model"))
+    rows = rows.agg(F.countDistinct("l_partkey").alias("planning_units"), F.countDistinct("l_suppkey").alias("rows"), F.count("*").alias("feature_nonzeros"))
+    early = F.col("model") % 5 == 0
+    models = rows.withColumns({"primary": F.lit(None).cast("long"), "auxiliary": 2 * F.col("planning_units"), "rows": F.when(~early, F.col("rows")), "nonzeros": F.when(~early, F.col("feature_nonzeros"))})
+    return contracts.admissions(models, 60_000, 27_000).select("model", "compiler_bytes", "solver_bytes", "scratch_bytes", "peak_bytes", "gate", "reason")
+
+
+#: Contracts of parts: kinds, statistics and quantities in turn, some of them missing or unknown.
+@query(
+    """WITH c AS (SELECT p_partkey AS layer, ['amount', 'density', 'probability', 'binary', 'categorical', 'cost', 'odd'][p_partkey % 7 + 1] AS kind, ['sum', 'mode', 'median', NULL, 'any'][p_size % 5 + 1] AS statistic, ['extensive', 'intensive', 'categorical', 'amount', NULL][p_partkey // 7 % 5 + 1] AS quantity, CASE WHEN p_size % 2 = 0 THEN 'lowest_value' END AS tie_rule FROM part),
+a AS (SELECT *, CASE kind WHEN 'amount' THEN statistic IN ('sum', 'median') WHEN 'cost' THEN statistic IN ('sum', 'median') WHEN 'density' THEN statistic = 'median' WHEN 'probability' THEN statistic = 'median' WHEN 'binary' THEN statistic IN ('any', 'mode') WHEN 'categorical' THEN statistic = 'mode' END AS fits FROM c)
+SELECT layer, 'unknown kind' AS problem FROM a WHERE kind = 'odd' UNION ALL SELECT layer, 'statistic not admitted' FROM a WHERE kind <> 'odd' AND coalesce(fits, false) = false
+UNION ALL SELECT layer, 'unknown quantity' FROM a WHERE coalesce(quantity, '') NOT IN ('extensive', 'intensive', 'categorical')
+UNION ALL SELECT layer, 'mode needs a categorical quantity' FROM a WHERE statistic = 'mode' AND quantity IS DISTINCT FROM 'categorical'
+UNION ALL SELECT layer, 'mode needs the lowest value on ties' FROM a WHERE statistic = 'mode' AND tie_rule IS NULL
+UNION ALL SELECT layer, 'sum needs an extensive quantity' FROM a WHERE statistic = 'sum' AND quantity IS DISTINCT FROM 'extensive'"""
+)
+def contract_violations(spark, d):
+    k = F.col("p_partkey")
+    of = lambda i, *names: F.element_at(F.array(*(F.lit(n).cast("string") for n in names)), (i + 1).cast("int"))
+    rows = read(spark, d, "part").select(
+        k.alias("layer"), of(k % 7, "amount", "density", "probability", "binary", "categorical", "cost", "odd").alias("kind"), of(F.col("p_size") % 5, "sum", "mode", "median", None, "any").alias("statistic"),
+        of(F.floor(k / 7) % 5, "extensive", "intensive", "categorical", "amount", None).alias("quantity"), F.when(F.col("p_size") % 2 == 0, "lowest_value").alias("tie_rule"))
+    return contracts.violations(spark, rows)
+
+
+@query(f"WITH {EDGES}, e AS (SELECT a AS unit, sb AS s FROM edges UNION ALL SELECT b, sa FROM edges) SELECT unit, count(*) FILTER (s = -1) AS flexible, count(*) FILTER (s = 1) AS selected, count(*) AS degree FROM e GROUP BY 1")
+def neighbour_counts(spark, d):
+    s = unit_states(spark, d)
+    return graph.neighbour_counts(graph.rook_edges(s), s.select("unit", "state"))
 
 
 @query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%ring%' AND list_contains(string_split(lower(p_type || '/' || p_brand), '/'), 'economy')")

@@ -54,11 +54,11 @@ def test_ranks_of_a_large_group(spark):
 
 
 def test_contracts(spark):
-    rows = [("ok", "amount", "sum", "extensive", None), ("kind", "odd", "sum", "extensive", None), ("mode", "categorical", "mode", "amount", None), ("sum", "cost", "sum", "intensive", None), ("not", "density", "sum", "extensive", None)]
+    rows = [("ok", "amount", "sum", "extensive", None), ("kind", "odd", "sum", "extensive", None), ("mode", "categorical", "mode", "amount", None), ("sum", "cost", "sum", "intensive", None), ("not", "density", "sum", "extensive", None), ("none", "density", None, None, None)]
     got = {}
     for r in contracts.violations(spark, spark.createDataFrame(rows, "layer string, kind string, statistic string, quantity string, tie_rule string")).collect():
         got.setdefault(r.layer, set()).add(r.problem)
-    assert got == {"kind": {"unknown kind"}, "mode": {"mode needs a categorical quantity", "mode needs the lowest value on ties"}, "sum": {"sum needs an extensive quantity"}, "not": {"statistic not admitted"}}
+    assert got == {"kind": {"unknown kind"}, "mode": {"unknown quantity", "mode needs a categorical quantity", "mode needs the lowest value on ties"}, "sum": {"sum needs an extensive quantity"}, "not": {"statistic not admitted"}, "none": {"statistic not admitted", "unknown quantity"}}
     cases = [(30, 120, 0, 0, None, "nested_aggregate"), (120, 120, 0, 0, None, "direct"), (120, 120, 7, 0, None, "bounded_reproject"), (240, 120, 0, 0, "nearest_constant", "coarse_to_fine_supported"), (240, 120, 0, 0, "prohibit", "unsupported"), (50, 120, 0, 0, None, "bounded_reproject")]
     frame = spark.createDataFrame([tuple(map(float, c[:4])) + c[4:] for c in cases], "native double, target double, x double, y double, policy string, want string")
     mapped = frame.select(contracts.mapping(*(F.col(c) for c in ("native", "target", "x", "y", "policy"))).alias("got"), "want").collect()
@@ -69,7 +69,7 @@ def test_canonical_json_and_admission():
     value = {"b": [1, {"z": None, "a": "é"}], "a": 1.5}
     text = '{"a":1.5,"b":[1,{"a":"é","z":null}]}'
     assert contracts.canonical_json(value) == text and contracts.canonical_hash(value) == hashlib.sha256(text.encode()).hexdigest()
-    assert contracts.footprint(10, 5, 20, safety=1.0) == 10 * 62 + 20 * 12 + 5 * 24 + 8
+    assert contracts.footprint(10, 5, 20, safety=1.0) == 10 * 62 + 20 * 24 + 5 * 48 + 16
     assert contracts.footprint(10, 5, 20, 2, 1.0) == contracts.footprint(12, 9, 28, 0, 1.0)
     assert [contracts.admit(*x) for x in ((1, 1), (9 << 30, 0), (0, 65 << 30), (9 << 30, 65 << 30))] == ["admitted", "peak_memory", "scratch", "peak_memory"]
 
@@ -282,3 +282,26 @@ def test_order_repeats_and_hashes(spark):
     assert h(rows) == h(rows.orderBy("name").repartition(3)) and len({h(rows), h(rows.unionByName(rows)), h(rows.limit(0)), h(rows.where("name = 'a'"))}) == 4
     with pytest.raises(Exception, match="not one source"):
         problems.backfilled(spark.createDataFrame([(1, "x", 1)], "task_id long, status string, created long"), spark.createDataFrame([(1,), (2,)], "source_id long")).collect()
+
+
+def test_admissions(spark):
+    schema = "id string, planning_units long, primary long, auxiliary long, rows long, nonzeros long, feature_nonzeros long"
+    rows = [("ok", 10, 8, 2, 5, 20, 30), ("counted", 10, None, None, None, None, None), ("minus", 10, 8, -1, 5, 20, 30), ("more", 3, 8, 0, 1, 1, 1), ("peak", 10**8, 10**8, 10**8, 10**8, 10**9, 1), ("scratch", 10, 10, 0, 1, 1, 10**10)]
+    got = {r.id: r for r in contracts.admissions(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: r.reason for k, r in got.items()} == {"ok": "admitted", "counted": "structural_inventory_required", "minus": "negative dimension", "more": "more variables than units", "peak": "profile_peak_memory_exceeded", "scratch": "profile_scratch_space_exceeded"}
+    compiler, solver = 10 * 25 + 6 * 8 + 20 * 12 + 5 * 16, 10 * 37 + 6 * 8 + 20 * 12 + 5 * 16
+    assert (got["ok"].compiler_bytes, got["ok"].solver_bytes, got["ok"].scratch_bytes, got["ok"].peak_bytes) == (compiler, solver, 360 + compiler, int(1.5 * (compiler + solver)))
+    assert got["ok"].peak_bytes == contracts.footprint(10, 5, 20)
+
+
+def test_settings_and_entries_keep_what_they_are(spark):
+    cases = {"1e-12": None, "1.2e3": 1200, "12.50": None, "1250e-1": 125, "-7.0": -7, " 3 ": 3, "0e99999": 0, "9223372036854775807": 9223372036854775807, "9223372036854775808": None, "1e99": None, ".": None, "": None, "+.5e1": 5, "000": 0, "1e": None, "00100e-2": 1}
+    got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", scalars.integer_setting(F.col("s")).alias("n")).collect()
+    assert {r.s: r.n for r in got} == cases
+    s = lambda x: F.lit(x).cast("string")
+    before = s('{"k":3,"o":{"a":[1,"x",null],"b":{"c":true}},"t":"3"}')
+    r = one(spark, scalars.with_entry(before, "n", F.lit(1.5)).alias("number"), scalars.with_entry(before, ("o", "b", "c"), s("no")).alias("deep"), scalars.with_entry(before, ("o", "b", "d"), F.lit(7)).alias("new"), scalars.with_entry(before, ("x", "y"), F.lit(1)).alias("missing"), scalars.with_entry(before, ("k", "y"), F.lit(1)).alias("scalar"), scalars.with_entry(before, "k", F.lit(None)).alias("null"))
+    whole = {"k": 3, "o": {"a": [1, "x", None], "b": {"c": True}}, "t": "3"}
+    assert json.loads(r.number) == whole | {"n": 1.5} and json.loads(r.missing) == whole == json.loads(r.scalar) and json.loads(r.null) == whole | {"k": None}
+    assert json.loads(r.deep)["o"] == {"a": [1, "x", None], "b": {"c": "no"}} and json.loads(r.new)["o"]["b"] == {"c": True, "d": 7}
+    assert one(spark, scalars.seed_colour(s("a😀")).alias("c")).c == "#796e8a"
