@@ -3,19 +3,20 @@
 The pages of a host are merged into one tree: a node is a path of block elements with their classes. From all pages of
 the host each node gets two importances between 0 and 1: of its presentation, the entropy of the child sequences that
 it has had, and of its content, one less the mean entropy of its features over the pages. The features of a short block
-are its words, a longer block is one feature. A node that shows the same everywhere has little of both.
+are its words, a longer block is one feature. A node that shows the same everywhere has little of both. All sites
+together make a tree of the same kind. A site's importances are drawn toward those of the same paths there, the more so
+the fewer pages it has; paths that a site shows once only have those of all sites.
 
 Each page is then judged from its root down. Below a node that looks the same on all pages, the children are slots of a
 template: a branch stays if its importance (of presentation and content, the highest below it) is not far below that of
 the best slot. From the node on whose own presentation varies as much as anything below it, all stays but branches that
-show the same everywhere and marked ones. What the elements say weighs in: an article or main element counts for
-half as much again, a menu, footer, header, aside or a whole class, id or role that is a word of SAYS for half, and a
-name that merely contains one for a little less. So on such sites no name decides on a slot alone.
+show the same everywhere and those whose element, class, id or role says that they are none of it. What elements and
+names say decides on a slot only where neither tree knows its path.
 
-Scripts, styles, forms and reader comments go on any page. Sites of fewer than PAGES pages show too little: there marked
-branches go, and a name that merely contains a word of SAYS cuts a branch outside of article and main that holds
-neither, nor more than half of the page's text; if there is an article or main element, only what is below counts. Ids
-of headings are anchors and say nothing.
+Scripts, styles, forms and reader comments go on any page. Where all pages together are fewer than PAGES, there is no tree
+to speak of: there marked branches go, and a name that merely contains a word of SAYS cuts a branch outside of article
+and main that holds neither, nor more than half of the page's text; if there is an article or main element, only what is
+below counts. Ids of headings are anchors and say nothing.
 
 Blocks are the texts between the borders of block elements. Character references are decoded, white space becomes one
 blank, blocks are joined by one blank. Nulls and empty pages have the empty text. Pages without a host share the host
@@ -62,14 +63,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that the start of another ends: start -> what is ended, and where to stop looking.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
-#: Pages of a site, and of a node, from which the tree counts. Words of a short block.
+#: Pages from which the tree of all sites counts, and as how many pages of a site it does. Words of a short block.
 PAGES, SHORT = 10, 16
 #: Share of presentation in the importance of a branch; share of the best slot's value that a slot needs; importance that
 #: a branch of a varying node needs; share of the presentation below a node from which its own makes it a varying one.
-PRESENTATION, SLOT, LOW, VARIES = 0.7, 0.3, 0.05, 0.5
-#: What a branch says about itself, and how much that weighs.
+PRESENTATION, SLOT, LOW, VARIES = 0.7, 0.7, 0.05, 0.5
+#: What a branch says about itself, and its importance where no tree knows it.
 PLAIN, HINT, MARKED, MAIN, GONE = range(5)
-WEIGHT = (1.0, 0.7, 0.5, 1.5, 0.0)
+UNKNOWN = (1.0, 0.4, 0.0, 1.0, 0.0)
+#: Root of the tree of all sites.
+POOLED = 1
 #: Nodes (16 bytes each) that are sent to all tasks; with more, the nodes of each page are joined instead.
 SENT = 1 << 20
 #: Parts that the pages' nodes are dealt into for that join; what is known of a node goes to each.
@@ -85,7 +88,7 @@ class Page:
 
     def __init__(self, html: str, root: int = 0):
         self.parent, self.style, self.says, self.block = [-1], [""], [PLAIN], [True]
-        self.keys, self.shows, self.inside = [root], [0], [False]
+        self.keys, self.paths, self.shows, self.inside = [root], [POOLED], [0], [False]
         self.pieces: list[tuple[int, list[tuple[int, str]]]] = []  # node, pieces (node, raw text)
         self.stack: list[tuple[str, int]] = [("", 0)]  # element, node
         self.at: dict[str, list[int]] = defaultdict(list)  # places of each element in the stack
@@ -163,10 +166,10 @@ class Page:
         if says != GONE:
             mark = xxhash.xxh64_intdigest(style)
             self.shows[around] = (self.shows[around] * 0x9E3779B97F4A7C15 + mark) & MASK
-            key = xxhash.xxh64_intdigest(style, self.keys[up]) if block else self.keys[up]
+            key, path = (xxhash.xxh64_intdigest(style, self.keys[up]), xxhash.xxh64_intdigest(style, self.paths[up])) if block else (self.keys[up], self.paths[up])
         else:
-            key = 0
-        for column, value in ((self.parent, up), (self.style, style), (self.says, says), (self.block, block), (self.keys, key), (self.shows, 0), (self.inside, main), (self.around, node if block else around)):
+            key = path = 0
+        for column, value in ((self.parent, up), (self.style, style), (self.says, says), (self.block, block), (self.keys, key), (self.paths, path), (self.shows, 0), (self.inside, main), (self.around, node if block else around)):
             column.append(value)
         self.at[name].append(len(self.stack))
         self.stack.append((name, node))
@@ -216,9 +219,10 @@ class Page:
         return stays
 
     def by_tree(self, known: dict[int, tuple[float, float]]) -> list[bool]:
-        """Which nodes stay by the importances (presentation, content) of the keys; a key not known is rare, so important."""
+        """Which nodes stay by the importances (presentation, content) of the keys, else of their paths in all sites. What neither
+        knows is rare, so important, unless it says otherwise."""
         n, up = len(self.parent), self.parent
-        own = [known.get(k, (1.0, 1.0)) if b else (0.0, 0.0) for k, b in zip(self.keys, self.block, strict=True)]
+        own = [known.get(k) or known.get(p) or (UNKNOWN[s],) * 2 if b else (0.0, 0.0) for k, p, b, s in zip(self.keys, self.paths, self.block, self.says, strict=True)]
         style, content = [x for x, _ in own], [x for _, x in own]
         for i in range(n - 1, 0, -1):
             if self.says[i] != GONE:
@@ -227,7 +231,7 @@ class Page:
         best = [0.0] * n
         for i in range(1, n):
             if self.block[i]:
-                best[up[i]] = max(best[up[i]], WEIGHT[self.says[i]] * worth[i])
+                best[up[i]] = max(best[up[i]], worth[i])
         stays, varies = [True] * n, [own[0][0] >= VARIES * style[0]] * n
         for i in range(1, n):
             p = up[i]
@@ -236,7 +240,7 @@ class Page:
             elif not self.block[i]:
                 stays[i], varies[i] = self.says[i] != MARKED, varies[p]
             else:
-                stays[i] = self.says[i] != MARKED and worth[i] >= LOW if varies[p] else WEIGHT[self.says[i]] * worth[i] >= SLOT * best[p]
+                stays[i] = self.says[i] != MARKED and worth[i] >= LOW if varies[p] else worth[i] >= SLOT * best[p]
                 varies[i] = varies[p] or own[i][0] >= VARIES * style[i]
         return stays
 
@@ -278,52 +282,71 @@ def signed(x: list[int]) -> pa.Array:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """node, content (else presentation), feature, k (times on the page), first (once for each page and node)."""
+    """node, path (the node in the tree of all sites), content (else presentation), feature, k (times on the page), first (once
+    for each page and node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, content, feature, times, first = [], [], [], [], []
+            node, path, content, feature, times, first = [], [], [], [], [], []
             for h, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                seen = set()
-                for (key, c, f), k in Page(text or "", root(h)).features().items():
+                seen, page = set(), Page(text or "", root(h))
+                paths = dict(zip(page.keys, page.paths, strict=True))
+                for (key, c, f), k in page.features().items():
                     node.append(key)
+                    path.append(paths[key])
                     content.append(c)
                     feature.append(f)
                     times.append(k)
                     first.append(not c and key not in seen)
                     if not c:
                         seen.add(key)
-            columns = [signed(node), pa.array(content, pa.bool_()), signed(feature), pa.array(times, pa.int64()), pa.array(first, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "content", "feature", "k", "first"])
+            columns = [signed(node), signed(path), pa.array(content, pa.bool_()), signed(feature), pa.array(times, pa.int64()), pa.array(first, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "path", "content", "feature", "k", "first"])
 
-    return pages.select("host", "html").mapInArrow(run, "node long, content boolean, feature long, k long, first boolean")
+    return pages.select("host", "html").mapInArrow(run, "node long, path long, content boolean, feature long, k long, first boolean")
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """node, pages, presentation, content of the nodes of all sites that PAGES pages or more show."""
-    k = features(pages).groupBy("node", "content", "feature").agg(F.sum("k").alias("t"), F.sum(F.col("k") * F.log("k")).alias("s"), F.sum(F.col("first").cast("long")).alias("m"))
+def _importance(k: DataFrame, node: str) -> DataFrame:
+    """node, pages, presentation, content from sums by node, content and feature; of one page alone neither is known."""
     of = lambda content, x: F.when(F.col("content") if content else ~F.col("content"), x)
-    node = k.groupBy("node").agg(
+    rows = k.groupBy(F.col(node).alias("node")).agg(
         F.sum("m").alias("pages"),
         F.avg(of(True, F.log("t") - F.col("s") / F.col("t"))).alias("spread"),
         F.sum(of(False, F.col("t"))).alias("n"),
         F.sum(of(False, F.col("t") * F.log("t"))).alias("same"),
-    ).where(F.col("pages") >= PAGES)
+    ).where("pages > 1")
     unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     presentation = unit((F.log("n") - F.col("same") / F.col("n")) / F.log("pages"))
-    return node.select("node", "pages", presentation.alias("presentation"), F.coalesce(unit(1 - F.col("spread") / F.log("pages")), F.lit(0.0)).alias("content"))
+    return rows.select("node", "pages", presentation.alias("presentation"), F.coalesce(unit(1 - F.col("spread") / F.log("pages")), F.lit(0.0)).alias("content"))
+
+
+def importance(pages: DataFrame) -> DataFrame:
+    """node, pages, presentation, content of the nodes of all sites, and of the tree of all sites together.
+
+    What a site of few pages shows is drawn toward the same path in all sites, which counts as PAGES pages of its own; so
+    the method holds for sites of any size. Nodes of the tree of all sites count from PAGES pages on.
+    """
+    k = features(pages).groupBy("node", "path", "content", "feature").agg(F.sum("k").alias("t"), F.sum(F.col("k") * F.log("k")).alias("s"), F.sum(F.col("first").cast("long")).alias("m"))
+    k = save(k)
+    site = _importance(k, "node").join(k.select("node", "path").distinct(), "node")
+    everywhere = k.groupBy("path", "content", "feature").agg(*(F.sum(c).alias(c) for c in ("t", "s", "m")))
+    everywhere = save(_importance(everywhere, "path").where(F.col("pages") >= PAGES))
+    own, prior = F.col("pages") - 1, F.lit(PAGES)
+    shrunk = lambda c: ((own * F.col(c) + prior * F.col(f"all_{c}")) / (own + prior)).alias(c)
+    drawn = site.join(everywhere.select(F.col("node").alias("path"), *(F.col(c).alias(f"all_{c}") for c in ("presentation", "content"))), "path")
+    return drawn.select("node", "pages", shrunk("presentation"), shrunk("content")).unionByName(everywhere)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    nodes = save(importance(pages))
+    nodes = save(importance(pages).select("node", F.col("presentation").cast("float"), F.col("content").cast("float")))
     if nodes.count() <= SENT:
         return judged(pages.withColumn("known", F.lit(None).cast(KNOWN)), nodes)
     return judged(with_known(pages, nodes), None)
 
 
-KNOWN = "array<struct<node:long,presentation:double,content:double>>"
+KNOWN = "array<struct<node:long,presentation:float,content:float>>"
 
 
 def with_known(pages: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -331,7 +354,7 @@ def with_known(pages: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(key, node) for key, h, text in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html")), strict=True) for node in set(Page(text or "", root(h)).keys)]
+            found = [(key, node) for key, h, text in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html")), strict=True) for page in [Page(text or "", root(h))] for node in {*page.keys, *page.paths}]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), signed([n for _, n in found])], ["key", "node"])
 
     pages = pages.withColumn("key", F.xxhash64("host", "html"))
@@ -355,7 +378,7 @@ def judged(pages: DataFrame, nodes: DataFrame | None) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     sent = None
     if nodes is not None:
-        rows = nodes.select("node", F.col("presentation").cast("float"), F.col("content").cast("float")).toArrow()
+        rows = nodes.select("node", "presentation", "content").toArrow()
         key, presentation, content = (rows.column(c).to_numpy() for c in range(3))
         order = np.argsort(key.view(np.uint64))
         sent = pages.sparkSession.sparkContext.broadcast((key.view(np.uint64)[order], presentation[order], content[order]))
@@ -364,9 +387,9 @@ def judged(pages: DataFrame, nodes: DataFrame | None) -> DataFrame:
         for batch in batches:
             texts = []
             for h, text, rows in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "known")), strict=True):
-                page, top = Page(text or "", root(h)), root(h)
-                known = among(sent.value, page.keys) if sent else {r["node"] & MASK: (r["presentation"], r["content"]) for r in rows or ()}
-                texts.append(page.text_of(known if top in known else None))
+                page = Page(text or "", root(h))
+                known = among(sent.value, page.keys + page.paths) if sent else {r["node"] & MASK: (r["presentation"], r["content"]) for r in rows or ()}
+                texts.append(page.text_of(known if POOLED in known else None))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "host", "html", "known").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -145,9 +145,11 @@ def test_both_ways_to_the_nodes_agree(spark, monkeypatch):
 def test_importance_as_brute_force(spark):
     texts = [site(k)[0] for k in range(12)]
     got = {r.node & html.MASK: (r.presentation, r.content) for r in html.importance(spark.createDataFrame([("h", t) for t in texts], "host string, html string")).collect()}
-    pages = [html.Page(t, html.root("h")).features() for t in texts]
+    on_site, everywhere = ([html.Page(t, root).features() for t in texts] for root in (html.root("h"), html.POOLED))
+    own = {key for p in on_site for key, _, _ in p}
     checked = 0
     for node, (presentation, content) in got.items():
+        pages = on_site if node in own else everywhere  # one site alone is all sites, so both trees say the same
         m = np.log(sum(any(key == node for key, _, _ in p) for p in pages))
         shows = {f: [p[node, False, f] for p in pages] for p in pages for key, c, f in p if key == node and not c}
         t = np.array([sum(v) for v in shows.values()])
@@ -157,3 +159,27 @@ def test_importance_as_brute_force(spark):
         assert abs(content - (max(0, 1 - np.mean(spread)) if spread else 0)) < 1e-6
         checked += 1
     assert checked >= 8
+
+
+def test_names_decide_nothing_that_the_tree_knows(spark):
+    """Without a word of what elements and names say, the given pages keep their texts; without importances most don't."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(rows).collect()}
+    nodes = html.importance(rows.select("html", html.host(rows.url).alias("host"))).toPandas()
+    known = {n & html.MASK: (a, b) for n, a, b in zip(nodes.node, nodes.presentation, nodes.content)}
+    small, flat, n = 0, 0, 0
+    for r in rows.select("page_id", "html", html.host(rows.url).alias("host")).collect():
+        page = html.Page(r.html, html.root(r.host))
+        page.says = [html.PLAIN if s != html.GONE else s for s in page.says]
+        small += page.text_of(known) != got[r.page_id]
+        flat += page.text_of(dict.fromkeys([*page.keys, *page.paths], (1.0, 1.0))) != got[r.page_id]
+        n += 1
+    assert small == 0 and flat > 0.9 * n
+
+
+def test_a_small_site_uses_the_tree_of_all_sites(spark):
+    """Three pages of a site of their own, in a template that other sites share."""
+    pages = [(k, f"http://plain.org/{k}" if k >= 3 else f"http://small{k}.org/", site(k)[0]) for k in range(40)]
+    pages += pages[:2]
+    got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((k, site(k)[1]) for k, _, _ in pages)
