@@ -2,12 +2,12 @@
 
 Words are runs of letters and digits in lower case. The input of a word is the sum of the embeddings, by hash, of itself
 and of its first and last characters in order (PIECES), beside the mean embedding of its bytes. The network reads windows of WINDOW words that overlap by half; every window of every text is
-scored and the highest counts. That logit becomes a score between 0 and 1 by a logistic curve fitted on whole documents
-that the network was not trained on.
+scored. The highest logit, the sum of what all windows show and their number become a score between 0 and 1 by a logistic
+curve fitted on whole documents that the network was not trained on.
 
 Training takes a bounded sample of labelled documents (SAMPLE, CALIBRATION; by hash of doc_id), never those held out.
-Which words tell the classes apart in the sample chooses the window of a toxic document that stands for it, and the
-most misleading window of a clean one beside another; after each round of training the window of each clean document
+Which words tell the classes apart in the sample chooses the windows of a toxic document that stand for it (one, or up to PER
+where there are few such documents), and the most misleading window of a clean one beside another; both classes count alike; after each round of training the window of each clean document
 that the network scores highest joins them. The weights (about 0.6 MB) are broadcast to the tasks.
 
 Nulls and texts without words have one window that no word fills. Repeated rows score the same. Texts are read whole.
@@ -37,6 +37,10 @@ PIECES = (3, 4, 5, 6, -3, -4)
 #: Labelled documents of each class to train on; labelled documents to fit the curve on.
 SAMPLE, CALIBRATION = 3000, 3000
 ROUNDS, EPOCHS, BATCH, RATE, SEED = 3, 3, 128, 0.01, 7
+#: Windows of toxic documents to train on: with fewer documents, each gives more of them, PER at most. Steps of a round at least.
+SHOWN, PER, STEPS = 3000, 12, 210
+#: By how much the log odds of a further window may be lower.
+NEAR = 2.0
 #: Windows that must hold a word for its embedding to be learnt.
 COMMON = 8
 
@@ -103,7 +107,7 @@ class Network:
             "c": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.curve = (1.0, 0.0)
+        self.curve = np.array([1.0, 0.0, 0.0, 0.0])
 
     def run(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: list | None = None) -> tuple:
         """x: inputs of distinct words after W and b (2, words, 3H); index, mask: (T, N). Logits, and what a training step needs."""
@@ -134,16 +138,16 @@ class Network:
         x = np.concatenate([self.p["E"][bucket].sum(1), chars], 1)
         return x @ self.p["W"] + self.p["b"][:, None]
 
-    def gradients(self, bucket: np.ndarray, bytes_: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
+    def gradients(self, bucket: np.ndarray, bytes_: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[dict, float]:
         """Gradients of the mean log loss by back-propagation through time. bucket: those of each distinct word,
-        bytes_: shares of the bytes in it."""
+        bytes_: shares of the bytes in it. weight: of each window in the loss."""
         p, steps, n, keep = self.p, *index.shape, []
         bucket = bucket.reshape(len(bucket), -1)
         raw = np.concatenate([p["E"][bucket].sum(1), bytes_ @ p["C"]], 1)
         x = raw @ p["W"] + p["b"][:, None]
         logit, (s, g, e, pooled) = self.run(x, index, mask, keep)
         q = sigmoid(logit)
-        d = ((q - y) / n).astype(np.float32)
+        d = (weight * (q - y) / n).astype(np.float32)
         out = {"o": pooled.T @ d, "c": np.array([d.sum()])}
         d_pool = d[:, None] * p["o"]
         d_e = np.einsum("nh,tnh->tn", d_pool, s)
@@ -172,7 +176,7 @@ class Network:
         out["C"] = bytes_.T @ d_raw[:, EMBED:]
         out["E"] = np.zeros_like(p["E"])
         np.add.at(out["E"], bucket, d_raw[:, None, :EMBED])
-        return out, float(-np.mean(np.log(np.where(y > 0, q, 1 - q) + 1e-9)))
+        return out, float(-np.mean(weight * np.log(np.where(y > 0, q, 1 - q) + 1e-9)))
 
     def train(self, windows: list[str], y: np.ndarray) -> None:
         words = [w.split(" ") if w else [] for w in windows]
@@ -192,12 +196,14 @@ class Network:
             index[: len(w), k] = [place[x] for x in w]
         known = np.bincount(bucket[np.unique(index * len(words) + np.arange(len(words))) // len(words)].reshape(-1), minlength=BUCKETS) >= COMMON
         mask, r, m, v, step = index > 0, np.random.default_rng(SEED), {}, {}, 0
-        for _ in range(EPOCHS):
+        share = float(np.clip(y.mean(), 0.01, 0.99))
+        weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)  # both classes count alike
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(words)))):
             order = r.permutation(len(words))
             for at in range(0, len(order), BATCH):
                 k = order[at : at + BATCH]
                 used, inverse = np.unique(index[:, k], return_inverse=True)
-                grads, _ = self.gradients(bucket[used], shares[used], inverse.reshape(WINDOW, -1), mask[:, k], y[k])
+                grads, _ = self.gradients(bucket[used], shares[used], inverse.reshape(WINDOW, -1), mask[:, k], y[k], weight[k])
                 step += 1
                 grads["E"] *= known[:, None]
                 for name, g in grads.items():
@@ -223,24 +229,29 @@ class Network:
             out[k : k + 8192] = self.run(x, inverse[np.where(mask, place, len(inverse) - 1)], mask)[0]
         return out
 
-    def highest(self, *text) -> np.ndarray:
-        """The highest window logit of each document."""
+    def signs(self, *text) -> np.ndarray:
+        """Of each document what its windows show: the highest logit, the logarithm of about how many passages are toxic (windows
+        overlap by half, so each counts twice), and that of its windows."""
         docs = spans(text[3])[1]
-        return np.maximum.reduceat(self.logits(*text), docs[:-1]) if len(docs) > 1 else np.zeros(0)
+        if len(docs) < 2:
+            return np.zeros((0, 3))
+        logits, n = self.logits(*text), np.diff(docs)
+        found = np.add.reduceat(sigmoid(logits.astype(np.float64)), docs[:-1])
+        return np.stack([np.maximum.reduceat(logits, docs[:-1]), np.log(found / 2 + 0.3), np.log(n)], 1)
 
-    def score(self, logit: np.ndarray) -> np.ndarray:
-        return sigmoid(self.curve[0] * logit.astype(np.float64) + self.curve[1])
+    def score(self, signs: np.ndarray) -> np.ndarray:
+        return sigmoid(signs.astype(np.float64) @ self.curve[:-1] + self.curve[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by damped Newton steps with a small ridge."""
-    mean, scale = x.mean(), x.std() + 1e-9
-    theta, a = np.zeros(2), np.stack([(x - mean) / scale, np.ones_like(x)], 1)
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and offset of a logistic curve, by damped Newton steps with a small ridge."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    theta, a = np.zeros(x.shape[1] + 1), np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], 1)
     for _ in range(200):
         q = sigmoid(a @ theta)
-        step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (q - y) + 1e-2 * theta)
+        step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + 1e-2 * np.eye(len(theta)), a.T @ (q - y) + 1e-2 * theta)
         theta = theta - np.clip(step, -0.3, 0.3)
-    return float(theta[0] / scale), float(theta[1] - theta[0] * mean / scale)
+    return np.append(theta[:-1] / scale, theta[-1] - (theta[:-1] * mean / scale).sum())
 
 
 def _signs(rows: DataFrame) -> np.ndarray:
@@ -262,9 +273,10 @@ def _signs(rows: DataFrame) -> np.ndarray:
     return np.log((odds[1] + 0.5) / (n[1] + 1)) - np.log((odds[0] + 0.5) / (n[0] + 1))
 
 
-def _windows(rows: DataFrame, odds: np.ndarray, model: Network | None = None) -> tuple[list[str], np.ndarray]:
-    """Of each document of the sample the window that the odds single out, of a clean one another too; with a model,
-    of each clean document the window that it scores highest."""
+def _windows(rows: DataFrame, odds: np.ndarray, model: Network | None = None, per: int = 1) -> tuple[list[str], np.ndarray]:
+    """Of each document of the sample the window that the odds single out, of a clean one another too, of a toxic one up to
+    per windows apart from each other whose odds are near; with a model, of each clean document the window that it scores
+    highest."""
     shared = rows.sparkSession.sparkContext.broadcast((odds, model and model.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +297,12 @@ def _windows(rows: DataFrame, odds: np.ndarray, model: Network | None = None) ->
                 for k in range(len(w) - 1):
                     if w[k] == w[k + 1] or (weights and y[i + k]):
                         continue
-                    chosen = {docs[k] + int(np.argmax(best[docs[k] : docs[k + 1]]))}
+                    here = best[docs[k] : docs[k + 1]]
+                    chosen = {docs[k] + int(np.argmax(here))}
+                    if y[i + k]:
+                        for c in np.argsort(-here, kind="stable")[: 4 * per]:
+                            if len(chosen) < per and here[c] > here.max() - NEAR and not chosen & {docs[k] + int(c) + x for x in (-1, 0, 1)}:
+                                chosen.add(docs[k] + int(c))
                     if not weights and not y[i + k]:
                         chosen.add(docs[k] + int(h[w[k]] % U(docs[k + 1] - docs[k])))
                     for c in chosen:
@@ -298,19 +315,19 @@ def _windows(rows: DataFrame, odds: np.ndarray, model: Network | None = None) ->
     return [w for w, _ in got], np.array([y for _, y in got], np.float32)
 
 
-def _with_logits(docs: DataFrame, model: Network, name: str, finish) -> DataFrame:
-    """docs with a double column: finish(highest logit)."""
+def _with_signs(docs: DataFrame, model: Network, names: list[str], finish) -> DataFrame:
+    """docs with double columns: the columns of finish(what the windows of each document show)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.p, model.curve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, powers = Network(), Powers(BASES[0])
         own.p, own.curve = shared.value
         for batch in batches:
-            got = [own.highest(d, starts, ends, w, h, powers) for _, d, starts, ends, w, h in texts(batch, powers)]
-            value = finish(own, np.concatenate(got) if got else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], [*batch.schema.names, name])
+            got = [own.signs(d, starts, ends, w, h, powers) for _, d, starts, ends, w, h in texts(batch, powers)]
+            values = finish(own, np.concatenate(got) if got else np.zeros((0, 3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64()) for v in values)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None) -> Network:
@@ -327,22 +344,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None) -> N
     model, n = Network(), {(r.calibrate, r.y): r["count"] for r in rows.groupBy("calibrate", "y").count().collect()}
     if not (n.get((False, 0)) and n.get((False, 1))):
         share = sum(v for (_, y), v in n.items() if y) / max(1, sum(n.values()))
-        model.curve = (0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        model.curve = np.array([0.0, 0.0, 0.0, np.log((share + 1e-9) / (1 - share + 1e-9))])
         return model
     sample = rows.where("NOT calibrate")
-    windows, y = _windows(sample, odds := _signs(sample))
+    windows, y = _windows(sample, odds := _signs(sample), per=max(1, min(PER, SHOWN // n[False, 1])))
     for k in range(ROUNDS):
         if k:
             hard, clean = _windows(sample, odds, model)
             windows, y = windows + hard, np.concatenate([y, clean])
         model.train(windows, y)
-    whole = _with_logits(rows.where("calibrate").select("text", "y"), model, "logit", lambda _, x: x).select("y", "logit").collect()
+    whole = _with_signs(rows.where("calibrate").select("text", "y"), model, ["a", "b", "c"], lambda _, x: x.T).select("y", "a", "b", "c").collect()
     if {r.y for r in whole} == {0, 1}:
-        model.curve = logistic(np.array([r.logit for r in whole]), np.array([r.y for r in whole], np.float64))
+        model.curve = logistic(np.array([r[1:] for r in whole]), np.array([r.y for r in whole], np.float64))
     return model
 
 
 def score(docs: DataFrame, model: Network, name: str = "score") -> DataFrame:
     """docs with the score of every text in a column of the given name, which takes the place of a column of that name."""
     docs = docs.select(*(c for c in docs.columns if c.lower() != name.lower()))
-    return _with_logits(docs, model, name, lambda own, x: own.score(x))
+    return _with_signs(docs, model, [name], lambda own, x: [own.score(x)])
