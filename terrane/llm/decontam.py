@@ -10,7 +10,8 @@ size of the partition, one is held: a document that holds none is no candidate,
 The values are the least ones of an order that puts shingles of few items first. A first pass over the documents looks
 for sketches only; the second counts all shingles, but only of candidates: pairs of a document and an item.
 
-Documents without words, nulls, and items without words match nothing. Repeated rows count once per doc_id. Texts are
+Documents without words, nulls, and items without words match nothing. Repeated rows count once; rows of one doc_id with
+different texts are searched each, and the best of them counts. Texts are
 read whole. Columns other than doc_id, item_id and text are ignored. An empty table gives an empty result.
 """
 
@@ -112,10 +113,12 @@ def candidates(docs: DataFrame, sketch: DataFrame, lengths: list[int]) -> DataFr
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, item_id, n_item (shingles of the item), n_shared: each item that a document contains."""
+    docs = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("doc_id"), "text")
     shingles = save(item_shingles(items))
     lengths = sorted(r.words for r in shingles.select("words").distinct().collect())
     found = save(candidates(docs, save(sketches(shingles, percent)), lengths))
     pairs = found.join(shingles.select("item_id", "shingle"), "item_id")
     rows = held(docs, bitmap(shingles, "shingle"), lengths, bitmap(found.select(F.xxhash64("doc_id").alias("at")), "at"))
     both = pairs.join(rows, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
-    return both.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    both = both.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    return both.groupBy(F.col("doc_id.doc_id").alias("doc_id"), "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))

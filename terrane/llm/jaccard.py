@@ -70,17 +70,17 @@ def digests(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(mix(sums(mix(tokens ^ U(BASES[k])), doc, len(size)) + size * U(BASES[1 - k])) for k in range(2))
 
 
-def base(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (hashes of the set) of every document."""
+def base(docs: DataFrame, n: int, mark: list[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (hashes of the set) of every document; mark: columns (of long) that stay with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASES[0]), Powers(BASES[1])
         for batch in batches:
             got = [(np.diff(o), *digests(t, o)) for _, _, t, o in sets(batch, n, powers)]
             size, d1, d2 = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x.astype(U).view(np.int64)) for x in (size, d1, d2))], ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x.astype(U).view(np.int64)) for x in (size, d1, d2)), *(batch.column(c) for c in mark)], ["doc_id", "n_shingles", "d1", "d2", *mark])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *mark).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long" + "".join(f", `{c}` long" for c in mark))
 
 
 def first_tokens(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> DataFrame:
@@ -366,12 +366,14 @@ def trees(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return pairs.distinct()
 
 
-def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, mark: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) of every document.
 
-    Two sets are linked when 100 * intersection >= percent * union.
+    Two sets are linked when 100 * intersection >= percent * union. mark: a column (of long) that stays with its row, to tell
+    rows of one doc_id apart.
     """
-    rows = save(base(docs, n))
+    marks = [mark] if mark else []
+    rows = save(base(docs, n, marks))
     classes = save(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     found = candidates(docs, classes, n, percent)
     nodes = upper_nodes(found, percent)
@@ -382,5 +384,5 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = linked.join(least, "component").select("d1", "d2", "n_shingles", "component_id")
     ids = classes.join(linked, ["d1", "d2", "n_shingles"], "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.where("n_shingles > 0").join(ids, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = rows.where("n_shingles > 0").join(ids, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id", *marks)
+    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *marks))

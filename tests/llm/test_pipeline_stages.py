@@ -36,3 +36,16 @@ def test_stages_and_run(spark, tmp_path):
     assert got == {(i, ids(t)) for i, t in {**texts, 8: "own\n"}.items() if i not in (2, 5, 7)}
     for stage in stages.values():
         assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_texts_of_one_doc_id_are_judged_each(spark, tmp_path):
+    import corpus_pipeline
+
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    spark.createDataFrame([(1, words(0, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, words(100, 160)), (2, words(100, 160) + " end"), (2, words(200, 260)), (2, words(200, 260)), (3, words(0, 22)), (3, words(18, 40)), (4, "x " + words(0, 40)), (4, words(300, 350)), (None, words(100, 160)), (None, None)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, gone_h int")
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if (r.doc_id, r.text) != rows[1])
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if (r.doc_id, r.text) != rows[6])
