@@ -5,8 +5,8 @@ follows the text where a stage changes it. The last returns the encoding of what
 
 Null and empty texts are not toxic, have no lines, no near duplicates and no benchmark items, and are encoded to nothing,
 so they stay. Repeated rows: equal lines of one document id and text stay in all of its rows or go in all, rows of one
-doc_id are never near duplicates of each other's id; all of them go if one of them holds a benchmark item. Rows without a
-doc_id are never removed as duplicates. Ties go to the smallest doc_id. Extra columns pass through all stages but the last
+doc_id are told apart by their texts, so each is a near duplicate, or holds a benchmark item, for itself; rows alike in both
+stay or go together. Rows without a doc_id are never removed as duplicates. Ties go to the smallest doc_id. Extra columns pass through all stages but the last
 with their values, whatever their names. Texts are read whole. Empty tables give empty results.
 """
 
@@ -34,16 +34,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return rows.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id and hash of the text are in gone (gone_id, gone_h)."""
+    gone = gone.distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]), "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    gone = jaccard.similar(docs, n=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("gone_h"))
+    found = jaccard.similar(marked, n=5, percent=80, mark="gone_h").where("doc_id <> component_id")
+    return without(docs, found.select(F.col("doc_id").alias("gone_id"), "gone_h"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    found = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["gone_id"], "left_anti")
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h")))
+    found = decontam.contained(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.h").alias("gone_h")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
