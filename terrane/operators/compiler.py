@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.shared import save
 from terrane.operators.graph import with_states
 from terrane.operators.grid import numbered
 
@@ -96,9 +97,9 @@ def build(units: DataFrame, edges: DataFrame, constraints: DataFrame, relations:
     Rows: features by name, minimum before maximum; if target, the sum of all units (bounds 0, set later); then z <= x
     for the first end of every pair, then for the second.
     """
-    n = attainable(edges, units).count()
+    folded = save(folded_edges(edges, units))
+    n, constant = folded.agg(F.count_if(F.col("kind") != "dropped"), F.count_if(F.col("kind") == "constant")).first()  # n: attainable ones
     worth = reward(strength, n)
-    folded = folded_edges(edges, units)
     bumps = folded.where("kind = 'unary'").groupBy("unit").agg(F.count("*").alias("k"))
     primary = numbered(units.where(flexible("state")).join(bumps, "unit", "left"), [F.asc("unit")], "col")
     primary = primary.select("col", "unit", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("objective") + worth * F.coalesce("k", F.lit(0))).alias("objective"), F.lit(integer).alias("integer"))
@@ -122,7 +123,7 @@ def build(units: DataFrame, edges: DataFrame, constraints: DataFrame, relations:
         rows = rows.unionByName(each.select("row", F.lit(f"pair_{k + 1}").alias("name"), F.lit(None).cast("double").alias("low"), F.lit(0.0).alias("high")))
         nonzeros = nonzeros.unionByName(each.select("row", F.inline(F.array(F.struct(F.col("z").alias("col"), F.lit(1.0).alias("coef")), F.struct("col", F.lit(-1.0).alias("coef"))))))
     fixed = units.where("state = 1").agg(F.coalesce(F.sum("objective"), F.lit(0.0))).first()[0]
-    return Model(variables, rows, nonzeros, fixed + worth * folded.where("kind = 'constant'").count())
+    return Model(variables, rows, nonzeros, fixed + worth * constant)
 
 
 def dimensions(constraints: DataFrame, relations: DataFrame) -> DataFrame:
