@@ -2,14 +2,14 @@
 
 A URL is canonical as its host (A-Z in lower case) and path; scheme, query and fragment are ignored. A listed URL
 covers its host's subdomains and everything below its path, so each URL is looked up by its host suffixes and path
-prefixes. The filter has a fixed number of blocks of 256 bits; a key sets one bit in each of the four words of its
+prefixes, those of the lengths that listed hosts and paths have. The filter has a fixed number of blocks of 256 bits; a key sets one bit in each of the four words of its
 block. It is broadcast, as its size is fixed whatever the length of the list; what passes goes to an exact hash join,
 which removes false positives. The longest rule that fits decides before the list.
 
 Null URLs and those without ``://`` have an empty host and path, fit no rule and are on no list. Repeated rows are
 judged each. Columns of the input other than the URL don't take part. A URL is looked up as a whole, however long: by as many
-keys as it has host labels times path segments, so a row's work grows with that product. An empty table gives an empty
-result. Only DataFrame functions are used.
+keys at most as there are lengths of listed hosts times lengths of listed paths, however many labels and segments it has.
+An empty table gives an empty result. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.shared import save
+
 #: Blocks of the Bloom filter: 65,536 x 40 bytes, 2.6 MB at most.
 BLOCKS = 1 << 16
 PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -38,14 +40,14 @@ def fits(rule: str) -> Column:
     return ((F.col("host") == name) | F.col("host").endswith("." + name)) & F.col("path").startswith("/" + below)
 
 
-def lookups() -> Column:
-    """Canonical URLs that would cover host and path: every host suffix with every path prefix that ends in a slash, and the path itself."""
-    labels, parts = F.split("host", r"\."), F.split("path", "/")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    n = F.size(parts) - 1
-    below = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    paths = F.array_distinct(F.concat(below, F.array("path")))
-    return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+def lookups(hosts: Sequence[int], paths: Sequence[int]) -> Column:
+    """Canonical URLs that would cover host and path, of the given lengths of hosts and paths: every host suffix with every path
+    prefix that ends in a slash, and the path itself."""
+    numbers = lambda x: F.array(*map(F.lit, sorted(x))).cast("array<int>")
+    end, whole = F.length("host"), F.length("path")
+    suffixes = F.filter(numbers(hosts), lambda n: (n == end) | ((n < end) & (F.substring("host", end - n, F.lit(1)) == ".")))
+    prefixes = F.filter(numbers(paths), lambda n: (n == whole) | ((n > 0) & (n < whole) & (F.substring("path", n, F.lit(1)) == "/")))
+    return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(F.substring("host", end - h + 1, h), F.substring("path", F.lit(1), p)))))
 
 
 def _bits(key: Column) -> tuple[Column, list[Column]]:
@@ -70,9 +72,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: DataFrame)
     for word, r in sorted(rules, key=lambda x: len(x[1])):
         rule, verdict = F.when(fits(r), F.lit(r)).otherwise(rule), F.when(fits(r), F.lit(word)).otherwise(verdict)
     rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    keys = listed.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("key")).where("key <> ''").distinct()
+    parts = listed.select(host(F.col("url")).alias("h"), path(F.col("url")).alias("p"))
+    keys = save(parts.select(F.concat("h", "p").alias("key"), F.length("h").alias("h"), F.length("p").alias("p")).where("key <> ''").distinct())
+    lengths = keys.agg(F.collect_set("h").alias("h"), F.collect_set("p").alias("p")).first()  # as many at most as the longest listed URL has characters
+    keys = keys.select("key")
     block, bits = _bits(F.col("key"))
-    probes = rows.where("rule IS NULL AND host <> ''").select("host", "path").distinct().select("host", "path", F.explode(lookups()).alias("key"))
+    probes = rows.where("rule IS NULL AND host <> ''").select("host", "path").distinct().select("host", "path", F.explode(lookups(lengths.h, lengths.p)).alias("key"))
     probes = probes.withColumns({"block": block} | {f"b{k}": b for k, b in enumerate(bits)}).join(F.broadcast(bloom(keys)), "block")
     for k in range(4):
         probes = probes.where(F.col(f"w{k}").bitwiseAND(F.col(f"b{k}")) != 0)

@@ -193,3 +193,29 @@ def test_toxic_documents_held_out(spark):
     rows = toxicity.score(some, toxicity.fit(some, labels)).where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").select("score", "toxic").toPandas()
     said, true = rows.score >= 0.5, rows.toxic == 1
     assert (said & true).sum() >= 0.9 * true.sum() and (said & true).sum() >= 0.9 * said.sum()
+
+
+def test_hostile_urls_are_looked_up_in_little_time(spark):
+    import time
+
+    from terrane.llm import urls
+
+    long = "http://" + "a." * 25_000 + "bad.org/" + "x/" * 25_000
+    rows = [(1, long), (2, "http://www.bad.org/p/q"), (3, "http://bad.org/p"), (4, "http://bad.orgs/p/"), (5, "http://x.whole.net/"), (6, "http://whole.net"), (7, "http://deep.net/a/b/c?d/"), (8, "http://deep.net/a/bc"), (8, "http://deep.net/a/bc")]
+    listed = [("http://bad.org/",), ("http://whole.net",), ("http://deep.net/a/b/",), ("x://deep.net/a/bc",), ("http://" + "y." * 300 + "z/" + "w/" * 300,), (None,)]
+    pages = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string")
+    judged = urls.judge(pages, [], spark.createDataFrame(listed, "url string"))
+    start = time.monotonic()
+    got = sorted((r.page_id, r.verdict, r.listed_as) for r in judged.select("page_id", "verdict", "listed_as").collect())
+    assert time.monotonic() - start < 15
+    assert got == [(1, "block", "bad.org/"), (2, "block", "bad.org/"), (3, "block", "bad.org/"), (4, "allow", None), (5, "allow", None), (6, "block", "whole.net"), (7, "block", "deep.net/a/b/"), (8, "block", "deep.net/a/bc"), (8, "block", "deep.net/a/bc")]
+
+
+def test_what_is_remembered_is_short():
+    import public_tokenizers
+    from terrane.llm import bpe, tokens
+
+    text = " ".join("q" * n for n in range(1, 300))
+    codec, counter = bpe.Codec(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()), tokens.Counter(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert codec.encode(text) == codec.encode(text) and counter.count([text, text]) == counter.count([text]) * 2
+    assert max(map(len, codec.words)) <= 64 and max(map(len, counter.known)) <= 64
