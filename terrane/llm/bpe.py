@@ -32,6 +32,8 @@ SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 WHITE = regex.compile(r"\p{White_Space}+")
 #: Fragments and words that a task remembers before it starts afresh.
 REMEMBERED = 300_000
+#: Longest of those, so that what is remembered has a size; longer ones are rare and worked out again.
+LONGEST = 64
 #: Symbols from which a fragment's pairs are kept in a heap; below, looking through all of them is quicker.
 LONG = 128
 
@@ -129,7 +131,9 @@ class Codec:
                 if (got := self.fragments.get(key)) is None:
                     if len(self.fragments) > REMEMBERED:
                         self.fragments.clear()
-                    got = self.fragments[key] = self.fragment(*key)
+                    got = self.fragment(*key)
+                    if len(part) <= LONGEST:
+                        self.fragments[key] = got
                 ids.extend(got)
         return little_endian(ids)
 
@@ -143,7 +147,9 @@ class Codec:
             if (got := words.get(w)) is None:
                 if len(words) > REMEMBERED:
                     words.clear()
-                got = words[w] = self.word(w)
+                got = self.word(w)
+                if len(w) <= LONGEST:
+                    words[w] = got
             out.append(got)
         return b"".join(out)
 
