@@ -23,6 +23,8 @@ PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens that a task remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Longest of those, so that what is remembered has a size; longer ones are counted again in the next batch.
+LONGEST = 64
 NONE = np.int64(1 << 40)
 
 
@@ -140,6 +142,9 @@ class Counter:
                 self.learn({p for ps in parts[i:j] for p in ps} if len(known) + len(new) > REMEMBERED else new)
                 known = self.known
             out[i:j] = [sum(map(known.__getitem__, ps)) + e for ps, e in zip(parts[i:j], extra[i:j], strict=True)]
+            for p in new:
+                if len(p) > LONGEST:
+                    self.known.pop(p, None)
             i = j
         return out
 
