@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import areas, warp
 from terrane.queries import CELLS, RASTER, cells, query, raster, read
+from terrane.sources import archive
 
 #: An L of two kinds of corner for each supplier, some with a hole; in cells of the part grid.
 SHAPES = """s AS (SELECT s_suppkey AS k, s_suppkey * 37 % 47 + 0.25 AS x, s_suppkey * 61 % (SELECT max(p_partkey) // 50 + 1 FROM part) + 0.3 AS y, 3 + s_suppkey % 9 AS w, 2 + s_suppkey % 5 AS h FROM supplier),
@@ -72,3 +73,18 @@ def warp_mode(spark, d):
 @query(f"WITH {SHARED}, m AS (SELECT *, sum(w) OVER (PARTITION BY row, col ORDER BY value) AS upto, sum(w) OVER (PARTITION BY row, col) / 2 AS half FROM b) SELECT row, col, min(value)::DOUBLE AS value FROM m WHERE upto >= half - 1e-9 GROUP BY ALL")
 def warp_median(spark, d):
     return _warped(spark, d, "median")
+
+
+#: The part grid as tiles of level 10, with three payloads; each level of the curve is a round of the recursion.
+@query(
+    f"""WITH RECURSIVE {CELLS}, h AS (SELECT unit, p_size % 3 AS kind, col AS x, row AS y, 0::BIGINT AS d, 9 AS k FROM cells UNION ALL
+SELECT unit, kind, CASE WHEN (y >> k) & 1 = 1 THEN x WHEN (x >> k) & 1 = 1 THEN 1023 - y ELSE y END, CASE WHEN (y >> k) & 1 = 1 THEN y WHEN (x >> k) & 1 = 1 THEN 1023 - x ELSE x END, d + (1::BIGINT << (2 * k)) * xor(3 * ((x >> k) & 1), (y >> k) & 1), k - 1 FROM h WHERE k >= 0),
+t AS (SELECT 349525 + d AS tile_id, kind FROM h WHERE k = -1), p AS (SELECT kind, kind + 1 AS length, sum(kind + 1) OVER (ORDER BY min(tile_id)) - kind - 1 AS "offset" FROM t GROUP BY kind),
+f AS (SELECT *, CASE WHEN lag(tile_id) OVER w = tile_id - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (ORDER BY tile_id)), r AS (SELECT *, sum(fresh) OVER (ORDER BY tile_id) AS run FROM f)
+SELECT min(tile_id) AS tile_id, count(*) AS run, min("offset")::BIGINT AS start, min(length)::BIGINT AS length FROM r JOIN p USING (kind) GROUP BY r.run"""
+)
+def archive_entries(spark, d):
+    c = cells(spark, d)
+    payload = F.repeat(F.lit("x"), (F.col("p_size") % 3 + 1).cast("int"))
+    tiles = c.select(F.lit(10).alias("z"), F.col("col").alias("x"), F.col("row").alias("y"), payload.cast("binary").alias("payload"))
+    return archive.entries(tiles).withColumnRenamed("offset", "start")
