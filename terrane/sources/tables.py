@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.functions.contracts import canonical_json
 from terrane.operators.grid import finite
 
 _SHAPE = "struct<type: string, coordinates: string, geometries: array<struct<type: string, coordinates: string>>>"
@@ -23,6 +26,43 @@ def publish(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """path (name in the folder), bytes, sha256 of the data files of a folder, each hashed in a task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    name = F.substring_index("path", "/data/", -1)
+    return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def publish_with_manifest(df: DataFrame, path: str, contracts: dict[str, dict], grid: dict | None = None, partition: str | None = None) -> None:
+    """df under path/data, then path/manifest: a row of JSON for each file, with its bytes and hash, and of the columns' contracts.
+
+    A column's contract, and the grid, also go into the metadata of the files, so a reader has them without the manifest.
+    The manifest comes last: a folder without one isn't published. A contract of a column that df lacks raises, and so does a
+    path that was published before.
+    """
+    if missing := sorted(set(contracts) - set(df.columns)):
+        raise ValueError(f"contracts of columns that are not there: {', '.join(missing)}")
+    for c in df.columns:
+        df = df.withMetadata(c, {k: canonical_json(v) for k, v in (("contract", contracts.get(c)), ("grid", grid)) if v is not None})
+    publish(df, f"{path}/data", partition)
+    told = canonical_json({"contracts": contracts, "grid": grid, "columns": {f.name: f.dataType.simpleString() for f in df.schema}})
+    _files(df.sparkSession, f"{path}/data").withColumn("told", F.lit(told)).write.json(f"{path}/manifest")
+
+
+def unpublished(spark: SparkSession, path: str) -> DataFrame:
+    """path, problem of the files of a published folder that are missing, differ from the manifest or aren't in it."""
+    manifest = spark.read.schema("path string, bytes long, sha256 string, told string").json(f"{path}/manifest")
+    rows = manifest.select("path", "sha256").join(_files(spark, f"{path}/data").select("path", F.col("sha256").alias("found")), "path", "full_outer")
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.col("found") != F.col("sha256"), "differs")
+    return rows.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def contract_of(df: DataFrame, column: str) -> dict | None:
+    """The contract that publish_with_manifest() gave a column, as read from its files."""
+    text = df.schema[column].metadata.get("contract")
+    return json.loads(text) if text else None
+
+
 def selected(cells: DataFrame) -> DataFrame:
     """grid_cell_id, row, col, decision of the selected cells; without any the schema stays."""
     return cells.where("decision = 1").select("grid_cell_id", "row", "col", F.lit(1).cast("short").alias("decision"))

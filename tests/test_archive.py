@@ -2,7 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from terrane.sources import archive
+from terrane.sources import archive, tables
 
 TILES = "z int, x long, y long, payload binary"
 
@@ -61,3 +61,27 @@ def test_numbers_of_any_length_and_no_tiles(spark):
     assert archive.entries_of(archive.directory(rows)) == rows and archive.entries_of(archive.directory([])) == []
     none = archive.directories(archive.entries(spark.createDataFrame([], TILES))).collect()
     assert [(d.leaf, bytes(d.content)) for d in none] == [(None, b"\x00")]
+
+
+def test_published_with_contracts_and_hashes(spark, tmp_path):
+    import glob
+    import os
+
+    path, contract, grid = f"{tmp_path}/layer", {"kind": "amount", "statistic": "sum"}, {"level": 3}
+    df = spark.range(100).select(F.col("id").alias("row"), (F.col("id") % 7).alias("value"), (F.col("id") % 2).alias("tile"))
+    with pytest.raises(ValueError, match="not there: nothing"):
+        tables.publish_with_manifest(df, path, {"nothing": contract})
+    tables.publish_with_manifest(df.repartition(3), path, {"value": contract}, grid, "tile")
+    back = spark.read.parquet(f"{path}/data")
+    assert back.count() == 100 and tables.contract_of(back, "value") == contract and tables.contract_of(back, "row") is None
+    assert back.schema["row"].metadata["grid"] == '{"level":3}'
+    assert tables.unpublished(spark, path).count() == 0
+    first, second, *_ = sorted(glob.glob(f"{path}/data/*/*.parquet"))
+    os.rename(first, f"{os.path.dirname(first)}/other.parquet")
+    for crc in glob.glob(f"{path}/data/*/.*.crc"):  # of the local file system, which would refuse to read it
+        os.remove(crc)
+    with open(second, "ab") as file:
+        file.write(b"x")
+    assert sorted(r.problem for r in tables.unpublished(spark, path).collect()) == ["differs", "missing", "unexpected"]
+    with pytest.raises(Exception, match="already exists"):
+        tables.publish_with_manifest(df, path, {})
