@@ -55,34 +55,45 @@ class Merges:
 
 
 def merge(table: Merges, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Symbols left of each sequence once no pair of it can be merged."""
+    """Symbols left of each sequence once no pair of it can be merged.
+
+    Ranks of pairs stay from round to round; only those beside a merged pair are looked up again.
+    """
     left = lengths.copy()
     active = np.flatnonzero(lengths > 1)
     symbols = symbols[np.repeat(lengths > 1, lengths)]
     lengths = lengths[active]
-    while len(active):
-        seq = np.repeat(np.arange(len(active)), lengths)
-        ranks = np.full(len(symbols), NONE)
+    seq = np.repeat(np.arange(len(active)), lengths)
+    ranks = np.full(len(symbols), NONE)
+    if len(symbols):
         ranks[:-1] = np.where(seq[1:] == seq[:-1], table.rank(symbols[:-1] * table.size + symbols[1:]), NONE)
+    while len(active):
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         lowest = np.minimum.reduceat(ranks, starts)
         going = lowest < NONE
-        hit = (ranks == lowest[seq]) & (ranks < NONE)
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero((ranks == lowest[seq]) & (ranks < NONE))
         # in a run of equal symbols neighbouring hits overlap: take every other one from the left
         fresh = np.ones(len(at), bool)
         fresh[1:] = (at[1:] != at[:-1] + 1) | (seq[at[1:]] != seq[at[:-1]])
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         at = at[(np.arange(len(at)) - run) % 2 == 0]
-        symbols = symbols.copy()
         symbols[at] = table.into[ranks[at]]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         lengths = lengths - np.bincount(seq[at], minlength=len(active))
         left[active] = lengths
+        beside = at - np.searchsorted(at, at)  # places of the merged pairs among what is kept
+        symbols, ranks, seq = symbols[keep], ranks[keep], seq[keep]
+        beside = np.concatenate([beside, beside[beside > 0] - 1])
+        inner = beside[beside + 1 < len(symbols)]
+        ranks[beside] = NONE
+        inner = inner[seq[inner] == seq[inner + 1]]
+        ranks[inner] = table.rank(symbols[inner] * table.size + symbols[inner + 1])
         going &= lengths > 1
-        keep &= going[seq]
-        symbols, active, lengths = symbols[keep], active[going], lengths[going]
+        if not going.all():
+            keep = going[seq]
+            symbols, ranks, seq = symbols[keep], ranks[keep], (np.cumsum(going) - 1)[seq[keep]]
+            active, lengths = active[going], lengths[going]
     return left
 
 
