@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from terrane.operators import integrity
 
 
@@ -23,6 +25,19 @@ def test_root_is_of_the_content_alone(spark, monkeypatch):
     assert len({integrity.model_hash(tables), integrity.model_hash(tables, False), integrity.model_hash(tables, True, 1.0), integrity.model_hash({"cols": tables["rows"]})}) == 4
 
 
+def test_root_of_a_fixed_height(spark, monkeypatch):
+    """As the SQL of the query merkle_root: a hash over all nodes, also where they are more than one node may hold."""
+    monkeypatch.setattr(integrity, "FAN", 7)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    node = lambda hashes: sha(f"node:{len(hashes)}:{''.join(hashes)}")
+    for n in (3, 40, 400):
+        leaves = [sha(t) for t in sorted(f"{len(str(k))}:{k}" for k in range(n))]
+        want = sha("k;" + node([node(leaves[i : i + 7]) for i in range(0, n, 7)]))
+        got = {levels: integrity.merkle_root(spark.range(n).select(F.col("id").alias("k")).repartition(3), ["k"], levels) for levels in (None, 2)}
+        assert got[2] == want and (got[None] == want) == (n == 40)
+    assert integrity.merkle_root(spark.range(0).withColumnRenamed("id", "k"), ["k"], 2) == integrity.merkle_root(spark.range(0).withColumnRenamed("id", "k"), ["k"])
+
+
 def test_gaps_repeats_and_overlaps_over_ranges(spark):
     rows = [(k * 10, k * 10 + 10) for k in range(200)]
     rows.remove((50, 60))
