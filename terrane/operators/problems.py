@@ -16,7 +16,10 @@ RESERVED = ("time_limit", "mip_rel_gap", "mip_abs_gap", "threads", "random_seed"
 
 
 def problem_violations(objectives: DataFrame, constraints: DataFrame, contracts: DataFrame) -> DataFrame:
-    """problem_id, layer, problem: what breaks a rule. A problem without any objective is one whose constraints or contracts name it."""
+    """problem_id, layer, problem: what breaks a rule. A problem without any objective is one whose constraints or contracts name it.
+
+    All tables grow with the number of problems, so both sides of a join are shuffled and sorted; none is sent whole to a task.
+    """
     o = objectives.select("problem_id", "layer", F.explode(F.array_compact(F.array(
         F.when(~F.coalesce(F.col("direction").isin("maximize", "minimize"), F.lit(False)), "unknown direction"),
         F.when(F.coalesce(F.isnan("importance") | (F.col("importance") < 0), F.lit(True)), "negative importance"),
@@ -28,9 +31,9 @@ def problem_violations(objectives: DataFrame, constraints: DataFrame, contracts:
         F.when(F.col("low") > F.col("high"), "minimum above maximum"),
     ))).alias("problem"))
     named = objectives.select("problem_id", "layer").unionByName(constraints.select("problem_id", "layer")).distinct()
-    missing = named.join(contracts.select("problem_id", "layer"), ["problem_id", "layer"], "left_anti").withColumn("problem", F.lit("no contract"))
+    missing = named.join(contracts.select("problem_id", "layer").hint("merge"), ["problem_id", "layer"], "left_anti").withColumn("problem", F.lit("no contract"))
     ids = constraints.select("problem_id").unionByName(contracts.select("problem_id")).distinct()
-    bare = ids.join(objectives.select("problem_id"), "problem_id", "left_anti").select("problem_id", F.lit(None).cast("string").alias("layer"), F.lit("no objective").alias("problem"))
+    bare = ids.join(objectives.select("problem_id").hint("merge"), "problem_id", "left_anti").select("problem_id", F.lit(None).cast("string").alias("layer"), F.lit("no objective").alias("problem"))
     return o.unionByName(twice).unionByName(c).unionByName(missing).unionByName(bare)
 
 

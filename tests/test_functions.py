@@ -305,3 +305,14 @@ def test_settings_and_entries_keep_what_they_are(spark):
     assert json.loads(r.number) == whole | {"n": 1.5} and json.loads(r.missing) == whole == json.loads(r.scalar) and json.loads(r.null) == whole | {"k": None}
     assert json.loads(r.deep)["o"] == {"a": [1, "x", None], "b": {"c": "no"}} and json.loads(r.new)["o"]["b"] == {"c": True, "d": 7}
     assert one(spark, scalars.seed_colour(s("a😀")).alias("c")).c == "#796e8a"
+
+
+def test_problem_violations_send_no_table_whole(spark):
+    """Contracts and objectives grow with the problems: however small they are here, no task holds them all."""
+    o = spark.range(40).select((F.col("id") % 9).alias("problem_id"), F.concat(F.lit("l"), F.col("id") % 5).alias("layer"), F.lit("maximize").alias("direction"), F.lit(1.0).alias("importance"))
+    c = spark.range(10).select(F.col("id").alias("problem_id"), F.lit("aggregate").alias("type"), F.lit("l0").alias("layer"), F.lit(1.0).alias("low"), F.lit(2.0).alias("high"))
+    k = spark.range(40).select((F.col("id") % 10).alias("problem_id"), F.concat(F.lit("l"), F.floor(F.col("id") / 10)).alias("layer"))
+    got = problems.problem_violations(o, c, k)
+    found = {(r.problem_id, r.layer, r.problem) for r in got.collect()}
+    assert {x for x in found if x[2] == "no contract"} == {(n % 9, "l4", "no contract") for n in range(40) if n % 5 == 4} and (9, None, "no objective") in found
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
