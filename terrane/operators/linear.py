@@ -15,6 +15,7 @@ may be any number of units and nonzeros. Prices that prove the rows unattainable
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +31,10 @@ ROWS = 200
 STEPS = (1.0, 0.6, 0.3, 0.1, 0.03, 0.01, 0.001)
 #: Relative gap and violation of a solution.
 CLOSED = 1e-10
+#: Units that a replacement may change besides the one left out, before all units are asked again.
+NEAR = 2048
+#: The step that a program of them begins with.
+STRIDE = 1e4
 
 
 @dataclass
@@ -70,7 +75,7 @@ def program(units: DataFrame, rows: DataFrame, nonzeros: DataFrame) -> Program:
     entries = nonzeros.join(F.broadcast(numbers), "row_id").groupBy("unit", "at").agg(F.sum(F.col("coef").cast("double")).alias("coef")).where("coef <> 0")
     entries = entries.groupBy("unit").agg(F.collect_list(F.struct("at", "coef")).alias("e"))  # at most ROWS a unit
     bounds = [F.coalesce(F.col(c).cast("double"), F.lit(d)) if c in units.columns else F.lit(d) for c, d in (("low", 0.0), ("high", 1.0))]
-    columns = units.select("unit", F.col("objective").cast("double").alias("objective"), bounds[0].alias("low"), bounds[1].alias("high")).join(entries, "unit", "left")
+    columns = units.select("unit", F.col("objective").cast("double").alias("objective"), bounds[0].alias("low"), bounds[1].alias("high")).join(entries.hint("merge"), "unit", "left")
     columns = save(columns.select("unit", "objective", "low", "high", F.coalesce("e.at", F.array().cast("array<int>")).alias("at"), F.coalesce("e.coef", F.array().cast("array<double>")).alias("coefs")))
     scale = np.ones(len(names))
     for r in columns.select(F.explode(F.arrays_zip("at", "coefs")).alias("e")).groupBy("e.at").agg(F.sqrt(F.sum(F.col("e.coefs") * F.col("e.coefs"))).alias("s")).collect():
@@ -93,6 +98,13 @@ class Block:
         self.place: dict | None = None
         self.units = batch.column(0)
 
+    def beside(self, near: Block) -> Block:
+        """The near units and then these, of which alone bounds change."""
+        out = copy(near)
+        out.c, out.low, out.high, out.a = (np.concatenate([getattr(b, k) for b in (near, self)]) for k in ("c", "low", "high", "a"))
+        out.place = {u: len(near.c) + i for i, u in enumerate(self.units.to_pylist())}
+        return out
+
     def bounds(self, changed: dict) -> tuple[np.ndarray, np.ndarray]:
         if not changed:
             return self.low, self.high
@@ -111,6 +123,21 @@ class Block:
         return x
 
 
+def _sums(b: Block, lane: tuple[dict, list, float, list[np.ndarray]], least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """What _pass() sums, for the units of a block and one lane: a line for each of its prices."""
+    changed, past, step, tried = lane
+    low, high = b.bounds(changed)
+    centre = b.centre(past, low, high)
+    out = []
+    for y in tried:
+        free = centre + step * (b.c - b.a @ y)
+        x = np.clip(free, low, high)
+        inner = b.a[(free > low) & (free < high)]
+        s, v = b.c - b.a @ allowed(y, least, most), -(b.a @ y)
+        out.append([b.c @ x, ((x - centre) ** 2).sum(), np.maximum(low * s, high * s).sum(), np.maximum(low * v, high * v).sum(), *(b.a.T @ x), *(inner.T @ inner).reshape(-1)])
+    return np.array(out)
+
+
 def _pass(p: Program, lanes: list[tuple[dict, list, float, list[np.ndarray]]]) -> dict[tuple[int, int], np.ndarray]:
     """Sums over all units for each lane (changed bounds, past, step, prices to try) and its prices: objective, squared way
     from the centre, dual value of the units, value along a ray, activities, curvature."""
@@ -122,15 +149,8 @@ def _pass(p: Program, lanes: list[tuple[dict, list, float, list[np.ndarray]]]) -
         sums = [np.zeros((len(tried), 4 + m + m * m)) for *_, tried in lanes]
         for batch in batches:
             b = Block(batch, scale, size)
-            for k, (changed, past, step, tried) in enumerate(lanes):
-                low, high = b.bounds(changed)
-                centre = b.centre(past, low, high)
-                for t, y in enumerate(tried):
-                    free = centre + step * (b.c - b.a @ y)
-                    x = np.clip(free, low, high)
-                    inner = b.a[(free > low) & (free < high)]
-                    s, v = b.c - b.a @ allowed(y, least, most), -(b.a @ y)
-                    sums[k][t] += [b.c @ x, ((x - centre) ** 2).sum(), np.maximum(low * s, high * s).sum(), np.maximum(low * v, high * v).sum(), *(b.a.T @ x), *(inner.T @ inner).reshape(-1)]
+            for k, lane in enumerate(lanes):
+                sums[k] += _sums(b, lane, least, most)
         rows = [(k, t, i, v) for k, of in enumerate(sums) for t, values in enumerate(of.tolist()) for i, v in enumerate(values)]
         columns = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["k", "t", "i", "v"])
@@ -154,10 +174,10 @@ def _support(y: np.ndarray, p: Program) -> float:
 class _Search:
     """Newton's method for one scenario: what to try next, given what a pass found."""
 
-    def __init__(self, p: Program, scenario: Scenario, start: np.ndarray | None):
+    def __init__(self, p: Program, scenario: Scenario, start: np.ndarray | None, step: float = 1.0):
         self.p, self.s = p, scenario
         self.y = np.zeros(len(p.names)) if start is None else start
-        self.step, self.rows = 1.0, np.clip(np.zeros(len(p.names)), p.low, p.high)
+        self.step, self.rows = step, np.clip(np.zeros(len(p.names)), p.low, p.high)
         self.tried, self.value, self.slope, self.rounds, self.gap = [self.y], None, None, 0, 1.0
 
     def lane(self) -> tuple[dict, list, float, list[np.ndarray]]:
@@ -278,8 +298,8 @@ def priority(units: DataFrame, rows: DataFrame, nonzeros: DataFrame, shares: Seq
             raise ValueError(f"budget {share:g} of the units is {found.status}")
         prices = found.prices
         x = save(allocations(p, found).select("unit", "x"))
-        columns = save(columns.join(x, "unit").select("unit", "objective", F.greatest(F.col("low"), F.least("x", "high")).alias("low"), "high", "at", "coefs"))
-        given = given.join(x, "unit").select("unit", F.array_append("given", F.col("x")).alias("given"))
+        columns = save(columns.join(x.hint("merge"), "unit").select("unit", "objective", F.greatest(F.col("low"), F.least("x", "high")).alias("low"), "high", "at", "coefs"))
+        given = given.join(x.hint("merge"), "unit").select("unit", F.array_append("given", F.col("x")).alias("given"))
     mean = F.aggregate("given", F.lit(0.0), lambda a, b: a + b) / len(shares)
     return given.select("unit", mean.alias("priority"), "given")
 
@@ -289,31 +309,112 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("row_id", F.concat_ws(":", F.col("row_id.k"), F.col("row_id.row_id").cast("string")))
 
 
-def replacement(units: DataFrame, rows: DataFrame, nonzeros: DataFrame, asked: DataFrame | None = None, most: int = 100) -> DataFrame:
+def _placed(p: Program, best: Scenario) -> DataFrame:
+    """The columns of a program with x, the solution's allocations, held (the bound that a unit is held to by the sign of what the
+    prices leave of its objective) and reach: the least change of any price that can turn this sign; NULL: none can."""
+    y = best.prices * p.scale / p.size
+    shared = p.columns.sparkSession.sparkContext.broadcast((best.past, y, p.scale, p.size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, y, scale, size = shared.value
+        for batch in batches:
+            b = Block(batch, scale, size)
+            left, weight = b.c - b.a @ y, np.abs(b.a).sum(axis=1)
+            reach = np.divide(np.abs(left), weight, out=np.full(len(left), np.inf), where=weight > 0)
+            new = [b.centre(past, b.low, b.high), np.where(left > 0, b.high, b.low)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, new), pa.array(reach, mask=np.isinf(reach))], [*batch.schema.names, "x", "held", "reach"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.columns.schema.fields)
+    return p.columns.mapInArrow(run, f"{fields}, x double, held double, reach double")
+
+
+def _without_each(p: Program, best: Scenario, placed: DataFrame, used: DataFrame) -> DataFrame:
+    """unit, loss of the units used, each left out alone; NULL where it takes all units to tell.
+
+    Without one unit prices change little, and only units whose sign turns change with them. So each unit is left out of a
+    program of the NEAR units of least reach, with all others held where they are. Its solution is one of the whole program if
+    its prices moved by less than the reach of all that are held: then none of those would leave its bound. One task a part of
+    the units; the near ones are sent to all. Losses are differences of what the prices prove, which is exact to the second order.
+    """
+    near = placed.where("reach IS NOT NULL").orderBy("reach", "unit").limit(NEAR + 1).toArrow()
+    reach = near.column("reach")[NEAR].as_py() if near.num_rows > NEAR else np.inf
+    near = near.slice(0, NEAR).combine_chunks()
+    names = placed.columns
+    batch = near.to_batches()[0] if near.num_rows else pa.RecordBatch.from_pylist([], near.schema)
+    weight = np.sqrt((Block(batch, p.scale, p.size).a ** 2).sum(axis=0))  # rows are scaled anew, by the near units
+    weight = np.where(weight > 0, weight, 1.0)
+    names_of_rows, scale, size, p_low, p_high = p.names, p.scale * weight, p.size, p.low / weight, p.high / weight
+    fixed = np.zeros(len(p.names))
+    for r in placed.select("held", F.explode(F.arrays_zip("at", "coefs")).alias("e")).groupBy("e.at").agg(F.sum(F.col("held") * F.col("e.coefs")).alias("s")).collect():  # at most ROWS
+        fixed[r["at"]] = r.s / scale[r["at"]]
+    block = Block(batch, scale, size)
+    fixed -= block.a.T @ batch.column(names.index("held")).to_numpy()
+    prices, unit_price = best.prices, p.scale / size
+
+    def solved(rest: np.ndarray, block: Block, changed: dict) -> Scenario:
+        local, found = Program(None, names_of_rows, p_low - rest, p_high - rest, scale, size), Scenario(changed)
+        search = _Search(local, found, prices * scale / size, STRIDE)
+        while found.status == "open":
+            search.tell(list(_sums(block, search.lane(), local.low, local.high)))
+        return found
+
+    sure = lambda s: s.status == "optimal" and bool(np.all(np.abs(s.prices - prices) * unit_price < reach))
+    whole = solved(fixed, block, {})
+    base = whole.bound if sure(whole) else None
+    shared = placed.sparkSession.sparkContext.broadcast((batch, fixed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, fixed = shared.value
+        block = Block(near, scale, size)
+        places = set(near.column(0).to_pylist())
+        for asked in batches:
+            losses: list[float | None] = []
+            held = asked.column(names.index("held")).to_numpy()
+            for i, u in enumerate(asked.column(0).to_pylist()):
+                if base is None:
+                    losses.append(None)
+                    continue
+                own = Block(asked.slice(i, 1), scale, size)
+                among, before, rest = block, base, fixed
+                if u not in places:
+                    among, before, rest = own.beside(block), base + float(own.c[0]) * size * held[i], fixed - own.a[0] * held[i]
+                found = solved(rest, among, {u: (min(own.low[0], 0.0), 0.0)})
+                losses.append(max(before - found.bound, 0.0) if sure(found) else None)
+            yield pa.RecordBatch.from_arrays([asked.column(0), pa.array(losses, pa.float64())], ["unit", "loss"])
+
+    return used.select(*names).mapInArrow(run, f"unit {placed.schema['unit'].dataType.simpleString()}, loss double")
+
+
+def replacement(units: DataFrame, rows: DataFrame, nonzeros: DataFrame, asked: DataFrame | None = None, most: int | None = 100) -> DataFrame:
     """unit, x, status (replaceable or absolutely_irreplaceable), objective (of the best without the unit), loss and
     relative_loss of the units asked for (unit; all without it).
 
-    A unit that the best solution does without loses nothing and needs no solution of its own. All others, `most` at most,
-    are solved side by side. Without any solution the program raises.
+    A unit that the best solution does without loses nothing and needs no solution of its own. All others, `most` at most
+    (None: any number), are solved from the best one's prices, in tasks where that can be shown to be enough, else over all
+    units side by side. Without any solution the program raises.
     """
     p = program(units, rows, nonzeros)
     best = solve(p)[0]
     if best.status != "optimal":
         raise ValueError(f"the program is {best.status}")
-    x = save(allocations(p, best))
-    wanted = x if asked is None else x.join(asked.select("unit").distinct(), "unit", "left_semi")
-    used = wanted.where(F.col("x") > F.col("low") + 1e-7).select("unit", "low").limit(most + 1).collect()
-    if len(used) > most:
+    placed = save(_placed(p, best))
+    wanted = placed if asked is None else placed.join(asked.select("unit").distinct().hint("merge"), "unit", "left_semi")
+    used = save(wanted.where(F.col("x") > F.col("low") + 1e-7))
+    n = used.count()
+    if most is not None and n > most:
         raise ValueError(f"more than {most} units to exclude")
-    found = solve(p, [{r.unit: (min(r.low, 0.0), 0.0)} for r in used], best.prices * 1.0)
-    kind = x.schema["unit"].dataType.simpleString()
-    done = [(r.unit, s.status, s.objective) for r, s in zip(used, found, strict=True)]
+    kind = placed.schema["unit"].dataType.simpleString()
+    losses = save(_without_each(p, best, placed, used.repartition(max(1, -(-n // 64)), "unit")))
+    rest = losses.where("loss IS NULL").join(used.select("unit", "low").hint("merge"), "unit").select("unit", "low").collect()
+    found = solve(p, [{r.unit: (min(r.low, 0.0), 0.0)} for r in rest], best.prices * 1.0)
+    done = [(r.unit, s.status, s.objective) for r, s in zip(rest, found, strict=True)]
     if unsettled := [u for u, status, _ in done if status == "unsettled"]:
         raise ValueError(f"no solution within the tolerance without {unsettled[:5]}")
-    solved = units.sparkSession.createDataFrame([(u, status == "infeasible", None if status == "infeasible" else z) for u, status, z in done], f"unit {kind}, infeasible boolean, z double")
-    out = wanted.join(F.broadcast(solved), "unit", "left")
-    z = F.when(F.col("infeasible").isNull(), F.lit(best.objective)).otherwise(F.col("z"))
-    loss = F.when(F.col("infeasible").isNull(), 0.0).when(~F.col("infeasible"), F.greatest(F.lit(best.objective) - F.col("z"), F.lit(0.0)))
-    status = F.when(F.coalesce("infeasible", F.lit(False)), "absolutely_irreplaceable").otherwise("replaceable")
+    others = units.sparkSession.createDataFrame([(u, status == "infeasible", None if status == "infeasible" else max(best.objective - z, 0.0)) for u, status, z in done], f"unit {kind}, infeasible boolean, loss double")
+    solved = losses.where("loss IS NOT NULL").select("unit", F.lit(False).alias("infeasible"), "loss").unionByName(others)
+    out = wanted.select("unit", "x").join(solved.hint("merge"), "unit", "left")
+    alone = F.coalesce("infeasible", F.lit(False))
+    loss = F.when(~alone, F.coalesce("loss", F.lit(0.0)))
+    status = F.when(alone, "absolutely_irreplaceable").otherwise("replaceable")
     relative = F.when(F.lit(abs(best.objective) > 0), loss / abs(best.objective or 1.0))
-    return out.select("unit", "x", status.alias("status"), z.alias("objective"), loss.alias("loss"), relative.alias("relative_loss"))
+    return out.select("unit", "x", status.alias("status"), (F.lit(best.objective) - loss).alias("objective"), loss.alias("loss"), relative.alias("relative_loss"))

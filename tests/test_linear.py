@@ -112,3 +112,26 @@ def test_many_units_close_the_gap(spark):
     rows = spark.createDataFrame([("r0", None, 20000.0), ("r1", 30000.0, 35000.0), ("r2", None, 30000.0)], ROWS)
     found = linear.solve(linear.program(units, rows, entries))[0]
     assert found.status == "optimal" and abs(found.bound - found.objective) < 1e-4 and found.activity[0] < 20000.01
+
+
+def test_replacements_are_solved_among_near_units(spark, monkeypatch):
+    """As each solved over all units, which only those need whose prices move too far."""
+    r = np.random.default_rng(5)
+    n = 300
+    value, a, b = r.integers(1, 60, n).astype(float), r.integers(1, 9, n).astype(float), r.integers(0, 5, n).astype(float)
+    frames = tables(spark, value.tolist(), {"a": (a.tolist(), None, 300.0), "b": (b.tolist(), None, 110.0)})
+    p = linear.program(*frames)
+    best, ids = linear.solve(p)[0], [u.unit for u in frames[0].select("unit").orderBy("unit").collect()]
+    some = ids[::9]
+    want = {u: best.bound - s.bound for u, s in zip(some, linear.solve(p, [{u: (0.0, 0.0)} for u in some], best.prices), strict=True)}
+    calls, solve = [], linear.solve
+    monkeypatch.setattr(linear, "solve", lambda p, scenarios=({},), *rest: calls.append(len(scenarios)) or solve(p, scenarios, *rest))
+    monkeypatch.setattr(linear, "NEAR", 40)
+    got = {u.unit: u for u in linear.replacement(*frames, most=None).collect()}
+    assert set(got) == set(ids) and sum(u.loss > 1 for u in got.values()) > 60
+    assert {u: got[u].loss for u in some} == pytest.approx(want, abs=1e-6)
+    assert calls[0] == 1 and sum(calls[1:]) < 10
+    # too few near units for anything: all are solved over all units, with the same losses
+    monkeypatch.setattr(linear, "NEAR", 1)
+    asked = spark.createDataFrame([(u,) for u in some], frames[0].select("unit").schema)
+    assert {u.unit: u.loss for u in linear.replacement(*frames, asked).collect()} == pytest.approx(want, abs=1e-6)
