@@ -81,7 +81,7 @@ def exclusions(units: DataFrame, budget: float) -> DataFrame:
 
 def _broken(p: linear.Program, x: DataFrame) -> float:
     """By how much the rows are broken at most, in their own measure."""
-    sums = p.columns.join(x, "unit").select("x", F.explode(F.arrays_zip("at", "coefs")).alias("e")).groupBy("e.at").agg(F.sum(F.col("x") * F.col("e.coefs")).alias("s"))
+    sums = p.columns.join(x.hint("merge"), "unit").select("x", F.explode(F.arrays_zip("at", "coefs")).alias("e")).groupBy("e.at").agg(F.sum(F.col("x") * F.col("e.coefs")).alias("s"))
     activity = np.zeros(len(p.names))
     for r in sums.collect():  # at most linear.ROWS
         activity[r["at"]] = r.s
@@ -97,8 +97,8 @@ def _filled(p: linear.Program, base: DataFrame, key: Column, resources: list[int
     cost = lambda i: F.coalesce(wide[F.lit(i)], F.lit(0.0))
     table = save(p.columns.withColumn("key", key).select("unit", "objective", "high", "low", "key", *((cost(i) * (F.col("high") - F.col("low"))).alias(f"a{i}") for i in resources)))
     for _ in range(passes):
-        state = table.join(chosen, "unit")
-        used = p.columns.join(chosen, "unit").select("x", F.explode(F.arrays_zip("at", "coefs")).alias("e")).groupBy("e.at").agg(F.sum(F.col("x") * F.col("e.coefs")).alias("s")).collect()
+        state = table.join(chosen.hint("merge"), "unit")
+        used = p.columns.join(chosen.hint("merge"), "unit").select("x", F.explode(F.arrays_zip("at", "coefs")).alias("e")).groupBy("e.at").agg(F.sum(F.col("x") * F.col("e.coefs")).alias("s")).collect()
         room = {i: float(p.high[i] * p.scale[i]) for i in resources}
         for r in used:
             if r["at"] in room:
@@ -112,7 +112,7 @@ def _filled(p: linear.Program, base: DataFrame, key: Column, resources: list[int
         new = save(rows.select("unit", F.col("high").alias("new")))
         if new.isEmpty():
             break
-        chosen = save(chosen.join(new, "unit", "left").select("unit", F.coalesce("new", "x").alias("x")))
+        chosen = save(chosen.join(new.hint("merge"), "unit", "left").select("unit", F.coalesce("new", "x").alias("x")))
     return chosen
 
 
@@ -142,6 +142,6 @@ def warm_start(units: DataFrame, rows: DataFrame, nonzeros: DataFrame) -> DataFr
         priced = F.col("objective") - sum((F.coalesce(wide[F.lit(i)], F.lit(0.0)) * float(best.prices[i]) for i in range(len(p.names))), F.lit(0.0))
         whole = linear.allocations(p, best).select("unit", F.when(F.col("x") >= F.col("high") - 1e-6, F.col("high")).otherwise(F.col("low")).alias("x"))
         found += [_filled(p, base, priced, resources) for base in (lowest, whole)]
-    worth = lambda x: x.join(p.columns, "unit").agg(F.coalesce(F.sum(F.col("x") * F.col("objective")), F.lit(0.0))).first()[0]
+    worth = lambda x: x.join(p.columns.hint("merge"), "unit").agg(F.coalesce(F.sum(F.col("x") * F.col("objective")), F.lit(0.0))).first()[0]
     kept = [x for x in [*found, save(lowest)] if _broken(p, x) <= 1e-6]
     return max(kept, key=worth) if kept else None

@@ -70,7 +70,7 @@ def warm_start_rows(spark, d):
     a, b = (share * total for share, total in zip((0.3, 0.25), u.agg(F.sum("cost"), F.sum("objective")).first(), strict=True))
     rows = spark.createDataFrame([("cost", None, a), ("amount", None, b)], "row_id string, low double, high double")
     nonzeros = u.select(F.inline(F.array(F.struct(F.lit("cost").alias("row_id"), F.col("cost").alias("coef")), F.struct(F.lit("amount").alias("row_id"), F.col("objective").alias("coef")))), "unit")
-    found = selection.warm_start(u, rows, nonzeros).join(u, "unit").where("x > 0")
+    found = selection.warm_start(u, rows, nonzeros).join(u.hint("merge"), "unit").where("x > 0")
     key = F.col("objective") / (F.col("cost") / a + F.col("objective") / b)
     prefix = selection.running_sums(u.withColumn("key", key), [F.desc("key"), F.asc("unit")], ["cost", "objective"]).where((F.col("sum_cost") <= a + 1e-9) & (F.col("sum_objective") <= b + 1e-9))
     sums = found.agg(F.sum("cost").alias("cost"), F.sum("objective").alias("worth"), F.max("x").alias("x")).crossJoin(prefix.agg(F.coalesce(F.sum("objective"), F.lit(0.0)).alias("greedy")))  # one row each

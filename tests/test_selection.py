@@ -49,3 +49,19 @@ def test_warm_start_meets_a_lower_bound_or_finds_none(spark):
     rows = {"cost": ([1, 1, 1], None, 2.0), "habitat": ([0, 0, 1], 1.0, None)}
     assert [r.x for r in selection.warm_start(*tables(spark, [3, 2, 1], rows)).orderBy("unit").collect()] == [1, 0, 1]
     assert selection.warm_start(*tables(spark, [3, 2], {"cost": ([1, 1], None, 1.0), "both": ([1, 1], 2.0, None)})) is None
+
+
+def test_warm_start_sends_no_table_of_units_whole(spark, monkeypatch):
+    kind, plans = type(spark.range(1)), []
+    join = kind.join
+
+    def spied(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "unit":
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(kind, "join", spied)
+    got = selection.warm_start(*tables(spark, [0.9, 0.8, 0.2], {"cost": ([4, 3, 1], None, 5.0)}))
+    assert sum(r.x for r in got.collect()) >= 1 and len(plans) > 5
+    assert not [p for p in plans if "BroadcastHashJoin [unit" in p]
